@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of code points other than ASCII white space.
@@ -85,3 +85,17 @@ def components(edges: DataFrame) -> DataFrame:
         large = with_key_min(both, "u", "v", "m").where("v > u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo")).distinct()
         small = with_key_min(large, "hi", "lo", "m")
         e = cut(small.select("hi", F.col("m").alias("lo")).union(small.where("lo <> m").select("lo", "m")).distinct())
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of value over the rows before each, in ascending order, nulls last.
+
+    Range partitions are summed, then each row within its own; only one number a partition meets in one task.
+    """
+    sort = [x for c in order for x in (F.col(c).isNull(), F.col(c))]
+    parts = cut(df.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1))
+    joined = parts.join(F.broadcast(sums), "_part")  # a row for each partition
+    return joined.withColumn(out, (F.col("_before") + F.coalesce(within, F.lit(0))).cast("long")).drop("_part", "_before")

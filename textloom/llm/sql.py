@@ -35,3 +35,36 @@ from placed
 """
 
 ORACLES = {"op7_source_mixture": MIXTURE}
+
+#: Extendible hashing: a document's depth is the smallest at which its prefix's bytes are within the limit.
+SHARDS = """
+with rows as (
+    select doc_id, coalesce(strlen(text), 0)::bigint as doc_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents
+), levels as (
+    select r.*, d.depth::integer as depth, r.h >> (60 - d.depth)::integer as bucket from rows r, range(0, 31) d(depth)
+), buckets as (
+    select depth, bucket, sum(doc_bytes)::bigint as shard_bytes from levels group by all
+), placed as (
+    select l.doc_id, l.doc_bytes, l.depth, l.bucket, b.shard_bytes,
+           row_number() over (partition by l.doc_id order by l.depth) as n
+    from levels l join buckets b on l.depth = b.depth and l.bucket = b.bucket where b.shard_bytes <= 1048576
+)
+select doc_id, doc_bytes, case when depth = 0 then '' else right(lpad(bin(bucket), 60, '0'), depth) end as shard, depth, shard_bytes from placed where n = 1
+"""
+
+#: Archives read back: the smallest page_id of equal payloads is the response. SHA-1 in base 32, five hex digits to four characters.
+ARCHIVES = """
+with p as (
+    select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(encode(coalesce(html, ''))) as h,
+           min(page_id) over (partition by coalesce(html, '')) as first
+    from pages
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform(range(0, 4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i * 5 + 1)::integer, 5))::bigint >> (15 - 5 * j)::integer) & 31)::integer + 1, 1)), '')), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from p
+"""
+
+ORACLES |= {"op2_warc_zstd": ARCHIVES, "op3_extendible_sharding": SHARDS}
