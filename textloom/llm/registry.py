@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, simhash, token_files, toxicity, vectors, warc
+from . import bpe, licences, mixing, quality, sharding, simhash, token_files, toxicity, vectors, warc
 from .sql import ORACLES
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_warc_zstd": warc.query,
     "op3_extendible_sharding": sharding.query,
     "op4_toxicity_restored": toxicity.query,
+    "op5_licence_windows": licences.query,
     "op6_quality_mcd": quality.query,
     "op7_source_mixture": mixing.query,
     "op8_simhash_deletion": simhash.query,

@@ -33,9 +33,9 @@ def hash_of(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def prefix(h: Column, bits: int | Column) -> Column:
+def prefix(h: Column, bits: int) -> Column:
     """The first bits of a hash as a number."""
-    return F.shiftright(h, F.lit(BITS) - bits) if isinstance(bits, int) else F.call_function("shiftright", h, (F.lit(BITS) - bits).cast("int"))
+    return F.shiftright(h, BITS - bits)
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:

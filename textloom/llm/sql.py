@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import CONTAINED, SHINGLE, TEMPLATES
+
 #: Sizes, sources, weights; the level at which sources share, raised until none passes three times its size; then a running sum by key within each source.
 MIXTURE = r"""
 with recursive sized as (
@@ -68,3 +70,29 @@ from p
 """
 
 ORACLES |= {"op2_warc_zstd": ARCHIVES, "op3_extendible_sharding": SHARDS}
+
+_WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+
+#: Licences by brute force: every window of every text against every template.
+LICENCES = f"""
+with t as (
+    select name, unnest(range(0, len(w) - {SHINGLE - 1})) as i, w from (select name, {_WORDS} as w from (values {_ROWS}) v(name, text))
+), ts as (
+    select distinct name, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as s from t
+), sizes as (
+    select name, count(*) as m, pow(2, ceil(log2(greatest(count(*), 2))))::bigint as width from ts group by name
+), d as (
+    select doc_id, {_WORDS} as w from documents
+), ds as (
+    select doc_id, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as s from (select doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) as i from d where len(w) >= {SHINGLE})
+), hits as (
+    select ds.doc_id, ts.name, ts.s, m, unnest([i // width * width, i // width * width - width]) as start from ds join ts using (s) join sizes using (name)
+), windows as (
+    select doc_id, name, start, count(distinct s) / m::double as containment from hits where start >= 0 group by doc_id, name, start, m
+)
+select doc_id, name as licence, max(containment) as containment, count(*) as windows, min(start)::bigint as first_window
+from windows where containment >= {CONTAINED} group by doc_id, name
+"""
+
+ORACLES |= {"op5_licence_windows": LICENCES}
