@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import lex
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """Null of nothing, also where division by zero is an error."""
+    return F.try_divide(part, whole)
+
+
 def is_bad_heading(heading: Column) -> Column:
     """Table of contents, references, preface and the like."""
     value = lex.ustrip(F.ltrim(lex.ustrip(F.coalesce(heading, F.lit(""))), F.lit("#")))
@@ -23,7 +28,7 @@ def is_heading(line: Column) -> Column:
     n = lex.letters(line)
     upper = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
     plain = (F.length(line) > 0) & (F.length(line) <= 120) & ~line.rlike(r"[.?!]$") & ~line.rlike(r"^\d{1,3}\s+\S") & ~line.rlike(lex.LAST_NUMBER % 3)
-    return plain & (line.rlike(lex.MARKDOWN_HEADING) | line.rlike(lex.NAMED_HEADING) | ((n >= 4) & (upper / n >= 0.8)))
+    return plain & (line.rlike(lex.MARKDOWN_HEADING) | line.rlike(lex.NAMED_HEADING) | ((n >= 4) & (_share(upper, n) >= 0.8)))
 
 
 def _of_lines(condition) -> Column:
@@ -64,10 +69,10 @@ def is_non_content(m: Column, bad_heading: Column | None = None) -> Column:
     """Contents pages, legal and packaging texts, page lists, by structure and density of cues."""
     n, chars, cues = m["lines"], m["chars"], m["cues"]
     out = (chars == 0) | ((chars < 80) & (m["boilerplate"] | (cues >= 1))) | ((cues >= 2) & (chars < 4000)) | ((cues >= 1) & (chars < 600))
-    out |= (n >= 6) & (m["short_lines"] / n >= 0.7) & ((m["leader_lines"] / n >= 0.35) | (m["page_lines"] / n >= 0.45))
-    out |= (n >= 8) & (m["leader_lines"] / n >= 0.5)
-    out |= (chars >= 200) & (m["digits"] / chars >= 0.28) & (m["letters"] / chars < 0.40) & ((cues >= 1) | ((n >= 8) & (m["short_lines"] / n >= 0.65)))
-    out |= (m["ascii_words"] >= 30) & (cues >= 1) & (m["ascii_kinds"] / m["ascii_words"] < 0.28)
+    out |= (n >= 6) & (_share(m["short_lines"], n) >= 0.7) & ((_share(m["leader_lines"], n) >= 0.35) | (_share(m["page_lines"], n) >= 0.45))
+    out |= (n >= 8) & (_share(m["leader_lines"], n) >= 0.5)
+    out |= (chars >= 200) & (_share(m["digits"], chars) >= 0.28) & (_share(m["letters"], chars) < 0.40) & ((cues >= 1) | ((n >= 8) & (_share(m["short_lines"], n) >= 0.65)))
+    out |= (m["ascii_words"] >= 30) & (cues >= 1) & (_share(m["ascii_kinds"], m["ascii_words"]) < 0.28)
     out = F.coalesce(out, F.lit(False))
     return out if bad_heading is None else out | bad_heading
 
@@ -75,20 +80,20 @@ def is_non_content(m: Column, bad_heading: Column | None = None) -> Column:
 def is_prompt_only(m: Column) -> Column:
     """Mostly tasks or questions, with hardly an answer."""
     n = m["lines"]
-    out = ((m["task_lines"] / n >= 0.55) & (m["answers"] <= 1)) | ((m["questions"] >= 3) & (m["answers"] == 0) & (m["task_lines"] / n >= 0.35))
-    out |= (m["numbered_lines"] / n >= 0.5) & (m["numbered_lines"] >= 3) & (m["answers"] <= 1)
+    out = ((_share(m["task_lines"], n) >= 0.55) & (m["answers"] <= 1)) | ((m["questions"] >= 3) & (m["answers"] == 0) & (_share(m["task_lines"], n) >= 0.35))
+    out |= (_share(m["numbered_lines"], n) >= 0.5) & (m["numbered_lines"] >= 3) & (m["answers"] <= 1)
     return (n == 0) | F.coalesce(out, F.lit(False))
 
 
 def is_high_value(m: Column, least: int = 80) -> Column:
     """Prose that an instruction may rest on."""
-    elsewhere = (m["reference_chars"] > 0) & ((m["chars"] < 500) | m["only_references"] | (m["reference_chars"] / m["chars"] > 0.12))
-    return F.coalesce((m["chars"] >= least) & ~is_non_content(m) & ~is_prompt_only(m) & ~elsewhere & ~m["fragment"] & (m["words"] >= 12) & (m["letters"] / m["chars"] >= 0.45), F.lit(False))
+    elsewhere = (m["reference_chars"] > 0) & ((m["chars"] < 500) | m["only_references"] | (_share(m["reference_chars"], m["chars"]) > 0.12))
+    return F.coalesce((m["chars"] >= least) & ~is_non_content(m) & ~is_prompt_only(m) & ~elsewhere & ~m["fragment"] & (m["words"] >= 12) & (_share(m["letters"], m["chars"]) >= 0.45), F.lit(False))
 
 
 def is_useful(m: Column) -> Column:
     """A paragraph worth keeping in a section."""
-    return F.coalesce((m["chars"] >= 40) & ~m["boilerplate"] & (m["words"] >= 8) & (m["letters"] / m["chars"] >= 0.45), F.lit(False))
+    return F.coalesce((m["chars"] >= 40) & ~m["boilerplate"] & (m["words"] >= 8) & (_share(m["letters"], m["chars"]) >= 0.45), F.lit(False))
 
 
 def cites_context(text: Column) -> Column:

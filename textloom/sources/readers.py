@@ -47,13 +47,21 @@ def distinct_sources(sources: list[str], source: str | None = None) -> list[str]
     return list(dict.fromkeys(s.strip() for s in [*(sources or []), *([source] if source else [])] if s and s.strip()))
 
 
+def _parsed(objects: DataFrame) -> DataFrame:
+    """Columns of JSON objects (value), by the schema that all of them share; values that differ in kind stay variants."""
+    kind = objects.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
+    if not kind or not kind.startswith("OBJECT<"):
+        return objects.select(F.lit(None).cast("string").alias("value")).where("false")
+    return objects.select(F.from_json("value", kind.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")).alias("r")).select("r.*")
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Objects of a file, one a line. Blank lines and other values are skipped; a line that is no JSON fails the job."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     objects = lines.where(F.schema_of_variant(F.parse_json("value")).startswith("OBJECT"))
     if schema is not None:
         return objects.select(F.from_json("value", schema if isinstance(schema, str) else schema.simpleString()).alias("r")).select("r.*")
-    return spark.read.json(objects)
+    return _parsed(objects)
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +83,7 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
     wrapped = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in WRAPPERS]
     found = F.coalesce(*[F.when((F.size(w) > 0) & F.forall(w, an_object), w) for w in wrapped])
     items = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.filter(as_list(F.col("v")), an_object)).otherwise(F.coalesce(found, F.array("v")))
-    return spark.read.json(v.select(F.explode(items).alias("r")).select(F.to_json("r").alias("value")))
+    return _parsed(v.select(F.explode(items).alias("r")).select(F.to_json("r").alias("value")))
 
 
 def structured(spark: SparkSession, path: str) -> DataFrame:
