@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a token as a whole is resolved by one probe and one comparison.
-Tier two takes the misses: bytes in a doubly linked list, and a heap of the pairs that may merge, by rank and place. The tables are built once on
-the driver from the rank file (its size bounds them) and broadcast. A worker remembers a bounded number of the pre-tokens that it resolved last.
+Tier two takes the misses: bytes in a doubly linked list, and a heap of the pairs that may merge, by rank and place. The rank file is
+broadcast, and each worker builds its tables once. A worker remembers a bounded number of the pre-tokens that it resolved last.
 
 Cases: null and empty texts have no tokens. Repeated rows stay. Empty tables give no rows. Extra columns are ignored. A text of any length
 is held by one task at a time, with its tokens; a single pre-token of n bytes takes n log n steps.
@@ -11,6 +11,7 @@ is held by one task at a time, with its tokens; a single pre-token of n bytes ta
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Pre-tokens in each of the two generations whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 class PerfectHash:
@@ -86,13 +87,9 @@ class PerfectHash:
 class Codec:
     """Encodes and decodes with the ranks of a rank file and a pattern that finds the pre-tokens."""
 
-    def __init__(self, path: str, pattern: str):
-        pairs = []
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    pairs.append((base64.b64decode(token), int(rank)))
+    def __init__(self, ranks: bytes, pattern: str):
+        """ranks: the lines of a rank file, each a token in base 64 and its rank."""
+        pairs = [(base64.b64decode(x.split()[0]), int(x.split()[1])) for x in ranks.splitlines() if x.strip()]
         self.table = PerfectHash([t for t, _ in pairs], [r for _, r in pairs])
         rank_of = dict(pairs)
         self.byte_id = [rank_of.get(bytes([b]), -1) for b in range(256)]
@@ -156,16 +153,24 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _codec(spark: SparkSession, path: str, pattern: str):
-    return spark.sparkContext.broadcast(Codec(path, pattern))
+@functools.lru_cache(maxsize=2)
+def _codec(ranks: bytes, pattern: str) -> Codec:
+    """The codec that a worker keeps from task to task."""
+    return Codec(ranks, pattern)
+
+
+def _shared(spark: SparkSession, path: str):
+    """The bytes of a rank file, which bound what is broadcast."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs, by the rank file at path (on the driver)."""
-    codec = _codec(docs.sparkSession, path, pattern)
+    ranks = _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = codec.value.encode
+        enc = _codec(ranks.value, pattern).encode
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc(x.as_py() or "") for x in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -175,11 +180,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str = "") -> DataFrame:
     """(doc_id, raw binary) for each row of encoded (doc_id, ids); null ids give empty bytes."""
-    codec = _codec(encoded.sparkSession, path, pattern)
+    ranks = _shared(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks.value, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.value.decode(x.as_py() or []) for x in b.column(1)], pa.binary())], ["doc_id", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(x.as_py() or []) for x in b.column(1)], pa.binary())], ["doc_id", "raw"])
 
     small_batches(encoded.sparkSession, 128)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
@@ -187,10 +193,11 @@ def decode(encoded: DataFrame, path: str, pattern: str = "") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() in one pass, and digests of what they return."""
-    codec = _codec(docs.sparkSession, path, pattern)
+    ranks = _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = codec.value.encode, codec.value.decode
+        codec = _codec(ranks.value, pattern)
+        enc, dec = codec.encode, codec.decode
         for b in batches:
             n, a, d = [], [], []
             for x in b.column(1):

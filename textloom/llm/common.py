@@ -68,6 +68,11 @@ def with_key_min(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return dealt.join(part.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most; else the join is planned by size. df is read once for that: cut it before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b: long): the smallest node reachable.
 

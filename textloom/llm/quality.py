@@ -20,14 +20,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, table
+from .common import BLANKS, cut, small, table
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATS = 50, 50
 #: The share of rows that an estimate rests on, and concentration steps.
-SHARE, STEPS = 0.75, 4
+SHARE, STEPS = 0.75, 3
 #: Rows of a group that has an estimate of its own.
 LEAST = 100
+#: Groups (about 250 bytes each) up to which estimates are sent to every executor.
+FEW = 20_000
 #: Quantile of chi-square beyond which a row is rejected.
 CUTOFF = 1 - 1e-6
 #: The vector, and the least standard deviation of each part, so that parts that hardly vary reject nothing by rounding.
@@ -100,7 +102,7 @@ def _vector(d: DataFrame) -> DataFrame:
         "v_repeats": F.sqrt(F.col("n_repeat_words") / n),
     }
     own = lambda c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("="), F.coalesce(F.col(c), F.lit("")))
-    return d.withColumns(parts).withColumns({"by_lang": own("lang"), "by_source": own("source")})
+    return d.withColumns(parts).withColumns({"own": F.concat(own("lang"), F.lit("\n"), own("source")), "pooled": own("lang")})
 
 
 def _distance(prefix: str = "") -> Column:
@@ -117,11 +119,9 @@ def _distance(prefix: str = "") -> Column:
     return out
 
 
-def _estimate(rows: DataFrame, keys: list[str], times: float) -> DataFrame:
-    """Mean, factor of the covariance times `times`, and log-determinant for each group, from sums."""
-    sums = [F.avg(n).alias(f"m{i}") for i, n in enumerate(NAMES)] + [(F.covar_pop(NAMES[i], NAMES[j])).alias(f"c{i}{j}") for i, j in PAIRS]
-    g = rows.groupBy(*keys).agg(*sums)
-    for i, j in PAIRS:  # Cholesky factor, with the floors added to the diagonal
+def _factor(g: DataFrame, times: float) -> DataFrame:
+    """l00..: the Cholesky factor of `times` the covariances c00.. with the floors added to the diagonal, in place of them, and logdet."""
+    for i, j in PAIRS:
         x = F.col(f"c{i}{j}") * times + (PARTS[NAMES[i]] ** 2 if i == j else 0)
         for k in range(j):
             x = x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
@@ -130,31 +130,31 @@ def _estimate(rows: DataFrame, keys: list[str], times: float) -> DataFrame:
     return g.withColumn("logdet", logdet).drop(*[f"c{i}{j}" for i, j in PAIRS])
 
 
-def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, m0.., l00..: the minimum-covariance-determinant estimate for each group of rows (keys not null)."""
-    median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(1000))
-    mid = cut(rows.groupBy(*keys).agg(*[median(n).alias(f"d{i}") for i, n in enumerate(NAMES)]))
-    off = cut(rows.join(mid, keys).groupBy(*keys).agg(*[F.first(f"d{i}").alias(f"m{i}") for i in range(P)], *[median(F.abs(F.col(n) - F.col(f"d{i}"))).alias(f"s{i}") for i, n in enumerate(NAMES)]))
-    robust = off
-    for i, j in PAIRS:
-        robust = robust.withColumn(f"l{i}{j}", F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + PARTS[NAMES[i]] ** 2) if i == j else F.lit(0.0))
-    robust = robust.drop(*[f"s{i}" for i in range(P)]).withColumn("start", F.lit(0))
-    plain = _estimate(rows, keys, 1.0).withColumn("start", F.lit(1))
-    now = cut(robust.unionByName(plain.drop("logdet")))
+def _moments() -> list[Column]:
+    return [F.avg(n).alias(f"m{i}") for i, n in enumerate(NAMES)] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+
+
+def mcd(rows: DataFrame) -> DataFrame:
+    """(grp, m0.., l00..): the minimum-covariance-determinant estimate for each group of rows (grp not null, and NAMES) of at least LEAST rows."""
+    quartiles = [F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i, n in enumerate(NAMES)]
+    first = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *_moments(), *quartiles).where(F.col("n") >= LEAST).drop("n"))
+    columns = ["grp", "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS]]
+    # Two starts: the whole group's mean and covariance, and medians with quartile ranges.
+    spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + PARTS[NAMES[i]] ** 2)
+    robust = first.select("grp", F.lit(1).alias("start"), *[F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(P)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS])
+    now = cut(_factor(first, 1.0).withColumn("start", F.lit(0)).select(*columns).unionByName(robust))
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    by = [*keys, "start"]
+    by = ["grp", "start"]
     for step in range(STEPS):
-        far = both.join(now, by).select(*by, *NAMES, _distance().alias("d2"))
-        edge = far.groupBy(*by).agg(F.percentile_approx("d2", F.lit(SHARE), F.lit(10000)).alias("edge"))
-        edged = cut(now.join(edge, by))
-        near = both.join(edged, by).where(_distance() <= F.col("edge")).select(*by, *NAMES)
-        now = cut(_estimate(near, by, scale(SHARE)))
-        if step < STEPS - 1:
-            now = now.drop("logdet")
-    best = cut(now.groupBy(*keys).agg(F.min(F.struct("logdet", "start")).alias("best")).select(*keys, F.col("best.start").alias("start")).join(now.drop("logdet"), by).drop("start"))
+        far = both.join(small(now, FEW), by).select(*by, _distance().alias("d2"))
+        edged = cut(now.join(far.groupBy(*by).agg(F.percentile_approx("d2", F.lit(SHARE), F.lit(10000)).alias("edge")), by))
+        near = both.join(small(edged, FEW), by).where(_distance() <= F.col("edge")).select(*by, *NAMES)
+        now = cut(_factor(near.groupBy(*by).agg(*_moments()), scale(SHARE)).select(*columns, *["logdet"] * (step == STEPS - 1)))
+    best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start")).join(now, by).drop("start", "logdet")
+    best = cut(best)
     q = chi2_quantile(0.975, P)
-    near = rows.join(best, keys).where(_distance() <= q).select(*keys, *NAMES)
-    return _estimate(near, keys, 0.975 / chi2_cdf(q, P + 2)).drop("logdet")
+    near = rows.join(small(best, FEW), "grp").where(_distance() <= q).select("grp", *NAMES)
+    return _factor(near.groupBy("grp").agg(*_moments()), 0.975 / chi2_cdf(q, P + 2)).drop("logdet")
 
 
 #: Columns by which a rejected row must lie above its group's mean in at least one: a text that is only longer, or has fewer symbols or repeats than most, is not junk.
@@ -164,23 +164,21 @@ JUNK = ("v_symbols", "v_lines", "v_repeats", "v_length")
 def judge(docs: DataFrame) -> DataFrame:
     """counts() with distance (double, null where no estimate is) and kept."""
     d = cut(_vector(counts(docs)))
-    fit = d.where(~F.col("base_failed")).select("by_lang", "by_source", *NAMES)
-    keys = ["by_lang", "by_source"]
-    large = lambda g, k: g.groupBy(*k).count().where(F.col("count") >= LEAST).drop("count")
-    own = mcd(fit.join(large(fit, keys), keys, "left_semi"), keys)
-    pooled = mcd(fit.join(large(fit, keys[:1]), keys[:1], "left_semi"), keys[:1])
-    own, pooled = cut(own.withColumn("own", F.lit(True))), cut(pooled)
-    named = cut(d.select(*keys).distinct())
-    chosen = named.join(own, keys, "left").join(pooled.withColumnsRenamed({c: f"p_{c}" for c in pooled.columns if c not in keys}), "by_lang", "left")
-    chosen = cut(chosen.select(*keys, *[F.when(F.col("own"), F.col(c)).otherwise(F.col(f"p_{c}")).alias(c) for c in pooled.columns if c not in keys]))
-    d2 = _distance()
+    fit = d.where(~F.col("base_failed")).select(F.explode(F.array("own", "pooled")).alias("grp"), *NAMES)
+    found = cut(mcd(fit))
+    estimate = [c for c in found.columns if c != "grp"]
+    groups = d.select("own", "pooled").distinct()
+    of = lambda name, mark: found.select(F.col("grp").alias(name), *[F.col(c).alias(f"{mark}{c}") for c in estimate])
+    chosen = groups.join(of("own", "a_"), "own", "left").join(of("pooled", "b_"), "pooled", "left")
+    chosen = chosen.select("own", *[F.when(F.col("a_m0").isNotNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in estimate])
+    chosen = small(cut(chosen), FEW)
     worse = None
     for n in JUNK:
-        i = NAMES.index(n)
-        x = (F.col(n) - F.col(f"m{i}")) > 3 * F.lit(PARTS[n])
+        x = F.col(n) - F.col(f"m{NAMES.index(n)}") > 3 * PARTS[n]
         worse = x if worse is None else worse | x
+    d2 = _distance()
     verdict = F.coalesce(~((d2 > chi2_quantile(CUTOFF, P)) & worse), F.lit(True))
-    return d.join(chosen, keys, "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
+    return d.join(chosen, "own", "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

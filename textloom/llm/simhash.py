@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +27,7 @@ MAX_BITS = 4
 #: (lowest bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints under one variant up to which they are joined pair by pair, and the size of a block beyond that.
-CROWD, BLOCK = 256, 1024
+CROWD, BLOCK = 256, 512
 
 
 def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -85,14 +84,14 @@ def _first_variant(key: str, x: str) -> str:
     return f"({say[0]} or ({counts[0]} > 1 and {say[1]}) or ({counts[0]} > 1 and {counts[1]} > 1 and {say[2]}))"
 
 
-def _forest(g: pd.DataFrame) -> pd.DataFrame:
+def _forest(g: pa.Table) -> pa.Table:
     """Edges that connect what the links within a pair of blocks connect, one less than the nodes of each part at most."""
-    left, right = (np.unique(g["fp"].to_numpy(np.int64)[g["side"].to_numpy() == s]) for s in (0, 1))
+    fps, sides = g["fp"].to_numpy(), g["side"].to_numpy()
+    left, right = np.unique(fps[sides == 0]), np.unique(fps[sides == 1])
+    right = right if len(right) else left
     nodes = np.unique(np.concatenate([left, right]))
-    a = left.view(np.uint64)
-    b = right.view(np.uint64) if len(right) else a
-    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= MAX_BITS)
-    i, j = np.searchsorted(nodes, a.view(np.int64)[i]), np.searchsorted(nodes, b.view(np.int64)[j])
+    i, j = np.nonzero(np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= MAX_BITS)
+    i, j = np.searchsorted(nodes, left)[i], np.searchsorted(nodes, right)[j]
     root = np.arange(len(nodes))
     while True:
         new = root.copy()
@@ -103,7 +102,7 @@ def _forest(g: pd.DataFrame) -> pd.DataFrame:
             break
         root = new
     own = root != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[own], "b": nodes[root[own]]})
+    return pa.table({"a": nodes[own], "b": nodes[root[own]]})
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -120,7 +119,7 @@ def links(fps: DataFrame) -> DataFrame:
     # A row meets every block once: as the left side of later ones, the right side of earlier ones, and its own by itself.
     met = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return found.union(met.groupBy("key", "i", "j").applyInPandas(_forest, "a long, b long"))
+    return found.union(met.groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -151,6 +150,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     single = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeats = docs.join(again, F.col("doc_id") == F.col("_more"), "left_semi").dropDuplicates(["doc_id"])
     nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component")).distinct()
-    fp_of = F.pandas_udf(lambda t: t.map(lambda x: simhash(x.encode() if x is not None else b"")), "long")
+    fp_of = F.arrow_udf(lambda t: pa.array([simhash((x.as_py() or "").encode()) for x in t], pa.int64()), "long")
     one_each = docs.where("doc_id is null").withColumn("_own", fp_of("text")).join(nameless, F.col("_own") == F.col("_fp")).dropDuplicates(["_component"]).drop("_own", "_fp", "_component")
     return single.unionByName(repeats).unionByName(one_each)

@@ -48,7 +48,7 @@ RUN = re.compile(r"(.)\1*", re.DOTALL)
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~][^\W_]){2,}(?!\S)")
 OUTER = ".,;:?\"'()[]{}<>«»„“”’…*-_~#%&/\\="
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 75_000
 
 
 def char_class(c: str) -> int:
@@ -168,15 +168,16 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(texts.groupBy("h").agg(F.min("_id").alias("_id"), F.min("y").alias("y")).groupBy("_id").agg(F.min("y").alias("y")))
 
 
-def _fit(rows: list[tuple[list[int], int]], size: int) -> np.ndarray:
-    """Weights of a ridge logistic regression over 0/1 features, the last the intercept; by Adam over all rows, always the same steps."""
-    y = np.array([r[1] for r in rows], dtype=float)
-    f = np.concatenate([np.array(r[0], dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    r = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
+def _fit(rows: pa.Table, size: int) -> np.ndarray:
+    """Weights of a ridge logistic regression over rows (f: ids of 0/1 features, y), the last the intercept; by Adam over all rows, always the same steps."""
+    y = rows["y"].to_numpy().astype(float)
+    lists = rows["f"].combine_chunks()
+    f = lists.flatten().to_numpy()
+    r = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[size] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     for t in range(1, 301):
-        s = np.bincount(r, w[f], minlength=len(rows)) + w[size]
+        s = np.bincount(r, w[f], minlength=len(y)) + w[size]
         d = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y
         g = np.append(np.bincount(f, d[r], minlength=size), d.sum())
         g[:size] += 0.5 * w[:size]
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Restorer, dict[str, int],
         return restorer, {}, np.array([math.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share else -40.0)])
     share, shared = n1 / n, spark.sparkContext.broadcast(restorer)
     # The sample is bounded by SAMPLE, so its ids may be broadcast; each sampled row is read where its text lies.
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("text", "y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("text", "y", "_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, own = Reader(shared.value), (Counter(), Counter())
@@ -225,9 +226,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Restorer, dict[str, int],
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(shared.value, known.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(read(t.as_py() or "")) for t in b.column(0)], pa.list_(pa.int32())), b.column(1)], ["f", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(read(t.as_py() or "")) for t in b.column(0)], pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "y", "id"])
 
-    rows = sorted((list(r["f"]), r["y"]) for r in texts.mapInArrow(features, "f array<int>, y int").collect())  # at most SAMPLE rows of a few ids
+    rows = texts.mapInArrow(features, "f array<int>, y int, id long").orderBy("id").toArrow()  # at most SAMPLE rows of a few ids, always in one order
     return restorer, vocabulary, _fit(rows, len(vocabulary))
 
 
