@@ -80,7 +80,12 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     name = lambda depth, bucket: F.when(depth == 0, "").otherwise(F.substring(F.lpad(F.bin(bucket), BITS, "0"), F.lit(BITS + 1) - depth, depth))
     out = lambda df, shard, depth, size: df.select("doc_id", F.col("bytes").alias("doc_bytes"), shard.alias("shard"), depth.cast("int").alias("depth"), size.cast("long").alias("shard_bytes"))
     full = F.lit(BITS)
-    single = out(rows.where(F.col("bytes") > limit), F.concat(name(full, F.col("h")), F.lit("#"), F.col("t").cast("string")), full, F.col("bytes"))
+    # A row above the limit is a shard by itself, with a number of its own, as such rows may repeat.
+    large = cut(rows.where(F.col("bytes") > limit))
+    single = out(large, F.lit(""), full, F.col("bytes")).limit(0)
+    if not large.isEmpty():
+        numbered = running_sum(large.withColumn("one", F.lit(1)), ["h", "t", "bytes"], "one", "number")
+        single = out(numbered, F.concat(name(full, F.col("h")), F.lit("#large"), F.col("number").cast("string")), full, F.col("bytes"))
     if placed is None:
         return single
     result = out(placed.where("depth is not null"), name(F.col("depth"), F.col("bucket")), F.col("depth"), F.col("shard_bytes")).unionByName(single)
