@@ -11,15 +11,16 @@ write no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,33 +29,40 @@ from .common import cut, fresh_dir, remove_dir, running_sum, small_batches, tabl
 
 END_ID = 2
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
-#: Characters of texts that are encoded together.
-TOGETHER = 1 << 18
+#: Bytes of texts that are encoded together.
+TOGETHER = 8 << 20
 
 
 class Encoder:
     """Whole texts through a tokenizer of the tokenizers library whose pre-tokens never span white space.
 
-    The words of a text that a worker does not remember go through the library together, as pre-tokens between SEPARATOR, an added token that
-    splits a text before anything else. What the library would lower-case, compose or split in ways that depend on more than Latin-1 goes through it as it is.
+    Texts are split into words and their distinct words counted out in Arrow; what a worker does not remember goes through the library together, as
+    lower-case pre-tokens in one text, split by white space only; the ids that end a word tell them apart. Texts with signs that the library would
+    lower-case, compose or split in ways that depend on more than Latin letters go through it as they are.
     """
 
-    SEPARATOR = "<|endoftext|>"
     #: Words in each of the two generations that are remembered, and pre-tokens that go through the library in one text.
-    REMEMBERED, TOGETHER = 300_000, 1_000
-    SPACE = re.compile(r"[ \t\r\n]+")
-    SIMPLE = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u00ff]*")
+    REMEMBERED, TOGETHER = 200_000, 1_000
+    ODD = "<\\||[^\t\n\r -~\u00a1-\u00ac\u00ae-\u00ff\u0152\u0153]"
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
-        splits = [x["pattern"]["Regex"] for x in (json.loads(model).get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        lower = any(x["type"] == "Lowercase" for x in (json.loads(model).get("normalizer") or {}).get("normalizers", []))
-        #: Only a tokenizer of the known kind is taken apart.
-        self.pieces = regex.compile(splits[0]).findall if len(splits) == 1 and lower and self.separator is not None else None
+        given = json.loads(model)
+        steps = (given.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        normal = [x["type"] for x in (given.get("normalizer") or {}).get("normalizers", [])]
+        suffix = given["model"].get("end_of_word_suffix")
+        #: Only a tokenizer of the known kind is taken apart: lower case, one pattern, bytes, ends of words marked.
+        self.pieces = None
+        if normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and suffix:
+            self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            lean = given | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}
+            self.lean = Tokenizer.from_str(json.dumps(lean))
+            vocabulary = given["model"]["vocab"]
+            self.ends = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -63,47 +71,76 @@ class Encoder:
         return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        simple = [w for w in words if self.SIMPLE.fullmatch(w) and "<|" not in w]
-        parts = [self.pieces(w.lower()) for w in simple]
-        new = list({p for x in parts for p in x if p not in self.known})
-        if len(self.known) + len(new) > 2 * self.REMEMBERED:
-            self.known = {}
-            new = list({p for x in parts for p in x})
-        joined = [self.SEPARATOR.join(new[i : i + self.TOGETHER]) for i in range(0, len(new), self.TOGETHER)]
-        for i, ids in enumerate(self.whole(joined)):
-            own, at = new[i * self.TOGETHER : (i + 1) * self.TOGETHER], 0
-            ends = [j for j, x in enumerate(ids) if x == self.separator] + [len(ids)]
+        """Remembers lower-case words that are new."""
+        find, known, young = self.pieces, self.known, self.young
+        # A word of letters is one pre-token, and one with a sign after it mostly two; other words go through the pattern.
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        parts = [(w[:-1], w[-1]) if w[-1:] in ".," and w[:-1].isalpha() else find(w) for w in other]
+        wanted = {*plain, *chain.from_iterable(parts)}
+        new = [p for p in wanted if p not in known]
+        if len(known) + len(new) > self.REMEMBERED:
+            self.known = known = {}
+            new = list(wanted)
+        for i in range(0, len(new), self.TOGETHER):
+            own, at = new[i : i + self.TOGETHER], 0
+            ids = np.array(self.lean.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids)
+            ends = (np.nonzero(self.ends[ids])[0] + 1).tolist() if len(ids) else []
+            ids = ids.tolist()
             for p, end in zip(own, ends, strict=True):
-                self.known[p] = ids[at:end]
-                at = end + 1
-        for w, x in zip(simple, parts, strict=True):
-            self.young[w] = tuple(chain.from_iterable(self.known[p] for p in x))
-        other = [w for w in words if w not in self.young]
-        self.young.update(zip(other, self.whole(other), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        if self.pieces is None:
-            return [list(x) for x in self.whole(texts)]
-        young, old, split = self.young, self.old, self.SPACE.split
-        out: list[list[int]] = []
-        missing: set[str] = set()
-        words = [split(t) for t in texts]
-        for x in words:
-            missing.update([w for w in x if w not in young])
-        new = []
-        for w in missing:
-            if (got := old.get(w)) is not None:
-                young[w] = got
-            else:
-                new.append(w)
+                known[p] = tuple(ids[at:end])
+                at = end
+        young.update(zip(plain, map(known.__getitem__, plain), strict=True))
+        for w, x in zip(other, parts, strict=True):
+            young[w] = tuple(chain.from_iterable([known[p] for p in x]))
+
+    def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without odd signs, one after the other, and how many each has."""
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                got = old.get(w)
+                if got is None:
+                    new.append(w)
+                else:
+                    young[w] = got
         if new:
             self._learn(new)
-        for t, x in zip(texts, words, strict=True):
-            # Words around an added token would lose their white space, which may be part of what it matches: such texts go whole.
-            out.append(list(self.whole([t])[0]) if "<|" in t else list(chain.from_iterable([young[w] for w in x])))
+        each = [young[w] for w in words]
         if len(young) > self.REMEMBERED:
             self.young, self.old = {}, young
-        return out
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        ids = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[index] if len(index) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1]) if len(index) else np.zeros(0, np.int64)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return ids[at], np.diff(before[offsets])
+
+    def __call__(self, texts: pa.Array, end: int | None) -> pa.ListArray:
+        """The ids of each text, with `end` after them. No text is null."""
+        odd = np.ones(len(texts), dtype=bool) if self.pieces is None else pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)
+        flat, sizes = self._simple(texts.filter(pa.array(~odd)))
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd] = sizes
+        whole = self.whole(texts.filter(pa.array(odd)).to_pylist()) if odd.any() else []
+        counts[odd] = [len(x) for x in whole]
+        more = 0 if end is None else 1
+        offsets = np.concatenate([[0], np.cumsum(counts + more)])
+        out = np.full(offsets[-1], 0 if end is None else end, dtype=np.int32)
+        kind = np.repeat(odd, counts + more)
+        if more:
+            body = np.ones(len(out), dtype=bool)
+            body[offsets[1:] - 1] = False
+        else:
+            body = np.ones(len(out), dtype=bool)
+        out[body & ~kind] = flat
+        out[body & kind] = np.fromiter(chain.from_iterable(whole), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) -> DataFrame:
@@ -113,30 +150,28 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(given.value)
-        end = [] if end_id is None else [end_id]
 
-        def out(keys: list, texts: list[str]) -> pa.RecordBatch:
-            ids = encoder(texts)
-            for x in ids:
-                x += end
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            texts = t.column(1).chunk(0)
+            return pa.RecordBatch.from_arrays([t.column(0).chunk(0), encoder(texts, end_id)], ["doc_id", "ids"])
 
+        gc.disable()  # a million small tuples, and no cycles among them
+        held, size = [], 0
         for b in batches:
-            keys, texts, size = [], [], 0
-            for k, t in zip(b.column(0), b.column(1), strict=True):
-                keys.append(k.as_py())
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= TOGETHER:
-                    yield out(keys, texts)
-                    keys, texts, size = [], [], 0
-            if keys:
-                yield out(keys, texts)
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= TOGETHER:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+        gc.enable()
 
     small_batches(docs.sparkSession, 128)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 @functools.lru_cache(maxsize=2)
