@@ -61,6 +61,8 @@ def measured(df: DataFrame, text: str, out: str = "m") -> DataFrame:
         "only_references": F.length(lex.ustrip(F.col("_rest"))) == 0,
         "fragment": v.rlike(lex.FRAGMENT),
         "words": lex.count(v, lex.WORD),
+        # A row's number keeps conditions on the measures above them: pushed below, each mention would run its patterns anew.
+        "row": F.monotonically_increasing_id(),
     }
     return df.withColumn(out, F.struct(*[c.alias(n) for n, c in fields.items()])).drop("_value", "_lines", "_rest", "_ascii")
 
