@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Pre-tokens in each of the two generations whose ids a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+
+
+#: A space at an end or beside other white space.
+ODD_SPACE = "^ | $" + "".join(f"| {c}|{c} " for c in ["[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"])
+#: Bytes of texts that are encoded together.
+TOGETHER = 4 << 20
+#: An id that no token has: of a place that has merged into another, and of those beyond the ends.
+NONE = (1 << 20) - 1
 
 
 class PerfectHash:
@@ -90,6 +101,8 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         """ranks: the lines of a rank file, each a token in base 64 and its rank."""
         pairs = [(base64.b64decode(x.split()[0]), int(x.split()[1])) for x in ranks.splitlines() if x.strip()]
+        if any(r >= NONE for _, r in pairs):
+            raise ValueError("ids are too large")
         self.table = PerfectHash([t for t, _ in pairs], [r for _, r in pairs])
         rank_of = dict(pairs)
         self.byte_id = [rank_of.get(bytes([b]), -1) for b in range(256)]
@@ -100,34 +113,35 @@ class Codec:
         self.bytes_of = [b""] * (1 + max((r for _, r in pairs), default=-1))
         for t, r in pairs:
             self.bytes_of[r] = t
+        self.decimal = [str(r) for r in range(len(self.bytes_of))]
         self.pattern, self.find = pattern, None
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a pre-token that is not in the vocabulary: the pair of the lowest rank merges first, the leftmost of equals."""
-        ids = [self.byte_id[b] for b in piece]
+        ids = list(map(self.byte_id.__getitem__, piece))
         n, pair = len(ids), self.pairs.get
         bits = n.bit_length()
         low = (1 << bits) - 1
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << bits | i for i in range(n - 1) if (r := pair(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        # Linked neighbours, with one place more at each end whose id no pair has.
+        nxt, prv = list(range(1, n + 2)), list(range(-1, n))
+        ids += (NONE, NONE)
+        heap = [r << bits | i for i, r in enumerate([pair(a << 20 | b) for a, b in zip(ids[: n - 1], ids[1:n], strict=True)]) if r is not None]
+        heapify(heap)
         while heap:
-            x = pop(heap)
+            x = heappop(heap)
             i, rank = x & low, x >> bits
             j = nxt[i]
-            if j >= n or ids[i] < 0 or pair(ids[i] << 20 | ids[j]) != rank:  # one of the two has merged meanwhile
+            if pair(ids[i] << 20 | ids[j]) != rank:  # one of the two has merged meanwhile
                 continue
-            ids[i], ids[j] = rank, -1
+            ids[i], ids[j] = rank, NONE
             k = nxt[i] = nxt[j]
-            if k < n:
-                prv[k] = i
-                if (r := pair(rank << 20 | ids[k])) is not None:
-                    push(heap, r << bits | i)
+            prv[k] = i
+            if (r := pair(rank << 20 | ids[k])) is not None:
+                heappush(heap, r << bits | i)
             h = prv[i]
-            if h >= 0 and (r := pair(ids[h] << 20 | rank)) is not None:
-                push(heap, r << bits | h)
-        return tuple([x for x in ids if x >= 0])
+            if (r := pair(ids[h] << 20 | rank)) is not None:
+                heappush(heap, r << bits | h)
+        return tuple([x for x in ids if x != NONE])
 
     def resolve(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
@@ -139,16 +153,68 @@ class Codec:
         if self.find is None:
             self.find, self.young, self.old = regex.compile(self.pattern).findall, {}, {}
         young, old = self.young, self.old
-        ids: list[int] = []
-        for piece in self.find(text):
-            got = young.get(piece)
-            if got is None:
-                got = young[piece] = old.get(piece) or self.resolve(piece)
-            ids += got
+        pieces = self.find(text)
+        for piece in {p for p in pieces if p not in young}:
+            young[piece] = old.get(piece) or self.resolve(piece)
+        ids = list(chain.from_iterable(map(young.__getitem__, pieces)))
         if len(young) > REMEMBERED:
             self.young, self.old = {}, young
         return ids
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null), one after the other, and where each text's begin and end.
+
+        Where every space has a sign on both sides, no pre-token reaches over one but as its first sign; so the distinct stretches from space
+        to space are counted out in Arrow and resolved once. Other texts go whole.
+        """
+        if self.find is None:
+            self.encode("")
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        whole = [self.encode(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        coded = split.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        words = [f" {w}" for w in coded.dictionary.to_pylist()]
+        offsets = split.offsets.to_numpy().astype(np.int64) - (split.offsets[0].as_py() if len(split) else 0)
+        if len(index):  # the first stretch of a text has no space before it
+            heads = offsets[:-1]
+            first, at = np.unique(index[heads], return_inverse=True)
+            index[heads] = len(words) + at
+            words += [words[k][1:] for k in first.tolist()]
+        young, old, find = self.young, self.old, self.find
+        each = []
+        for w in words:
+            got = young.get(w)
+            if got is None:
+                got = old.get(w)
+                if got is None:
+                    pieces = find(w)
+                    got = self.resolve(w) if len(pieces) == 1 else tuple(chain.from_iterable([self._piece(p) for p in pieces]))
+                young[w] = got
+            each.append(got)
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[index] if len(index) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1])] if len(index) else np.zeros(0, np.int32)
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd] = np.diff(before[offsets]) if len(offsets) > 1 else 0
+        counts[odd] = [len(x) for x in whole]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out, kind = np.zeros(ends[-1], dtype=np.int32), np.repeat(odd, counts)
+        out[~kind] = ids
+        out[kind] = np.fromiter(chain.from_iterable(whole), dtype=np.int32)
+        return out, ends
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        got = self.young.get(piece)
+        if got is None:
+            got = self.young[piece] = self.old.get(piece) or self.resolve(piece)
+        return got
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -197,18 +263,33 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        enc, dec = codec.encode, codec.decode
+        dec, decimal = codec.decode, codec.decimal.__getitem__
+        gc.disable()  # many small tuples, and no cycles among them
+
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids, ends = codec.encode_all(t.column(1).chunk(0))
+            a, d = [], []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = ids[i:j].tolist()
+                a.append(hashlib.sha256(" ".join(map(decimal, own)).encode()).hexdigest())
+                d.append(hashlib.sha256(dec(own)).hexdigest())
+            return pa.RecordBatch.from_arrays([t.column(0).chunk(0), pa.array(np.diff(ends), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        held, size = [], 0
         for b in batches:
-            n, a, d = [], [], []
-            for x in b.column(1):
-                ids = enc(x.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(dec(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= TOGETHER:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+        gc.enable()
 
     small_batches(docs.sparkSession, 128)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_round_trip(docs: DataFrame) -> DataFrame:
