@@ -30,7 +30,7 @@ from .common import cut, fresh_dir, remove_dir, running_sum, small_batches, tabl
 END_ID = 2
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
 #: Bytes of texts that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 12 << 20
 
 
 class Encoder:
@@ -42,7 +42,7 @@ class Encoder:
     """
 
     #: Words in each of the two generations that are remembered, and pre-tokens that go through the library in one text.
-    REMEMBERED, TOGETHER = 200_000, 1_000
+    REMEMBERED, TOGETHER = 300_000, 1_000
     ODD = "<\\||[^\t\n\r -~\u00a1-\u00ac\u00ae-\u00ff\u0152\u0153]"
 
     def __init__(self, model: str):
