@@ -188,6 +188,23 @@ def test_restores():
         assert r.restore(raw) == want, raw
 
 
+def test_disguises_at_the_edges():
+    words = "you a i the stupid idiot moron trash shit class letter house water people think about other".split() * 40
+    counts = np.zeros((28, 28, 28))
+    for w in words:
+        c = [0, *map(toxicity.char_class, w), 0]
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            counts[a, b, d] += 1
+    read = toxicity.Reader(toxicity.Restorer(counts))
+    cases = {"shi+": "shit", "idio+": "idiot", "the!!": "the", "letter": "letter", "iddiot": "idiot", "stupidd": "stupid", "1d10t!": "idiot", "(lass": "class", "you i d i o t.": "idiot", "s t u p i d, you": "stupid"}
+    cases |= {"i d ! o t": "idiot", "so (i d i o t) there": "idiot", "a i d i o t": "idiot", "i d i o t a": "idiot", "s t u p i d": "stupid", "t r a s h !": "trash", "a s t u p i d": "stupid"}
+    for raw, want in cases.items():
+        assert want in read(raw), raw
+    r = read.restorer
+    assert r.decode("t h e i d i o t", bounds=True) == "the idiot" and r.decode("s t u p i d", bounds=True) == "stupid"
+    assert len(r.decode("h o u s e " * 20000)) > 20000
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     got = toxicity.query(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()

@@ -1,9 +1,9 @@
 """Toxicity of texts whose words may be disguised: noisy-channel deobfuscation, then a score of the restored text.
 
 A disguised word (digits and signs for letters, letters spaced out, letters repeated) spans a lattice: at each character, the letters that it
-may stand for, or nothing where a repeat or a separator may go. Viterbi decoding finds the path of the highest probability
-under a character trigram model of all texts and the channel's costs. Plain words have a lattice of one path and are taken as they are. A logistic model over restored words and
-their beginnings gives the score.
+may stand for, nothing where a repeat or a separator may go, or a boundary of words where a separator is. Viterbi decoding finds the path of the highest probability
+under a character trigram model of all texts and the channel's costs. Plain words have a lattice of one path and are taken as they are. What may be a disguise or not (signs around
+a word, a doubled letter) gives both words, decoded and as it stands. A logistic model over restored words and their beginnings gives the score.
 
 What is gathered: trigram counts of all texts (28^3 cells, whatever the input), and the model, fitted on at most SAMPLE labelled rows that are not held out
 (lowest hashes of doc_id first) with at most FEATURES features. Labels, lang, source and doc_id are no inputs of a score.
@@ -43,10 +43,15 @@ SIGN, REPEAT, SEPARATOR, LETTER, OTHER = 1.0, 0.5, 0.3, 9.0, 3.0
 SEPARATORS = " .-_*~"
 CLASSES = 28  # 0: a boundary, 1 to 26: a to z, 27: any other letter
 PLAIN = re.compile(r"[^\W\d_]+")
-THRICE = re.compile(r"(.)\1\1")
+TWICE, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 RUN = re.compile(r"(.)\1*", re.DOTALL)
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~][^\W_]){2,}(?!\S)")
+#: A letter or a sign for one; spans of them may follow an opening sign and end before any punctuation.
+_UNIT = rf"(?:[^\W_]|[{re.escape(''.join(LEET))}])"
+SPACED = re.compile(rf"""(?<![^\s(\[{{<"'«“„‘*]){_UNIT}(?:[ .\-_*~]{_UNIT}){{2,}}(?=[^\w\s]*(?!\S))""")
 OUTER = ".,;:?\"'()[]{}<>«»„“”’…*-_~#%&/\\="
+#: Signs around a word that stand for no letter, and those that may be punctuation or a letter.
+SHED, EITHER = "".join(c for c in OUTER if c not in LEET), "!|+$@€"
+SIGNS, SPACES = frozenset(LEET), frozenset(SEPARATORS)
 #: Words that a worker remembers in each of two generations.
 REMEMBERED = 75_000
 
@@ -88,17 +93,19 @@ class Restorer:
         smooth = 2.0
         self.cost = (-np.log((counts + smooth * back[None]) / (counts.sum(axis=2, keepdims=True) + smooth))).tolist()
 
-    def decode(self, word: str) -> str:
-        """The likeliest letters behind a lower-case word or a span of spaced letters."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def decode(self, word: str, repeats: int = 3, bounds: bool = False) -> str:
+        """The likeliest letters behind a lower-case word or a span of spaced letters; letters of runs of `repeats` or more may be dropped, and separators be boundaries of words (blanks) with `bounds`."""
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # texts are chains of (before, letter)
         run_of = [len(m.group()) for m in RUN.finditer(word) for _ in m.group()]
         last = ""
         for c, run in zip(word, run_of, strict=True):
             letters = LEET.get(c, c if c.isalpha() else "")
-            drop = REPEAT if c == last and run > 2 else SEPARATOR if c in SEPARATORS else LETTER if c in LEET else OTHER if not c.isalpha() else None
+            drop = REPEAT if c == last and run >= repeats else SEPARATOR if c in SEPARATORS else LETTER if c in LEET else OTHER if not c.isalpha() else None
             price = SIGN if c in LEET else 0.0
+            if bounds and c in SEPARATORS:
+                letters = " "
             last = c
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, text) in paths.items():
                 if drop is not None and ((a, b) not in new or cost + drop < new[a, b][0]):
                     new[a, b] = (cost + drop, text)
@@ -106,20 +113,46 @@ class Restorer:
                     k = char_class(x)
                     total = cost + price + self.cost[a][b][k]
                     if (b, k) not in new or total < new[b, k][0]:
-                        new[b, k] = (total, text + x)
+                        new[b, k] = (total, (text, x))
             paths = new
-        return min(((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items()), default=(0, ""))[1]
+        text = min(((cost + (self.cost[a][b][0] if b else 0.0), text) for (a, b), (cost, text) in paths.items()), key=lambda p: p[0])[1]
+        out = []
+        while text:
+            text, x = text
+            out.append(x)
+        return "".join(reversed(out)).strip()
 
     def restore(self, word: str) -> str:
         """The letters of a lower-case word: as they are, or decoded where it is disguised; empty if it has none."""
         core = word.strip(OUTER)
         if PLAIN.fullmatch(core) and not THRICE.search(core):
             return core
-        bare = core.strip("!|+$@€")
+        bare = core.strip(EITHER)
         if PLAIN.fullmatch(bare) and not THRICE.search(bare) and core[:1] == bare[:1] and not core.endswith("$"):
             return bare
         return self.decode(core) if any(c.isalpha() for c in core) else ""
 
+    def forms(self, word: str) -> set[str]:
+        """All words that a lower-case word or span may stand for: restored, and decoded with its outer signs as letters and without them, doubled letters kept and undone, and as several words if it is a span."""
+        found = {w for w in (self.restore(word),) if w}
+        twice = TWICE.search(word) is not None
+        spaced = word[1:2] in SPACES and SPACED.fullmatch(word) is not None
+        if not (twice or spaced) and SIGNS.isdisjoint(word):
+            return found
+        whole = {word.strip(SHED), word.strip(OUTER), word.strip(OUTER + EITHER)}
+        if spaced:
+            # Several words may be spaced out together; trigrams alone often hide a word of one letter at an end.
+            found.update(x for w in whole for x in self.decode(w, 2, True).split())
+            whole |= {x for w in whole for x in (w[2:], w[:-2], w[2:-2])}
+            found.update(self.decode(w) for w in whole)
+            twice = True
+        for w in whole:
+            if not SIGNS.isdisjoint(w):
+                found.add(self.decode(w))
+            if twice and TWICE.search(w):
+                found.add(self.decode(w, 2))
+        return found - {""}
+
 
 class Reader:
     """The features of a text: ids if a vocabulary is given, else the features themselves."""
@@ -130,8 +163,7 @@ class Reader:
         self.old: dict[str, tuple] = {}
 
     def _features(self, word: str) -> tuple:
-        w = self.restorer.restore(word)
-        found = [w, *(f"{w[:n]}^" for n in STEMS if len(w) > n)] if w else []
+        found = {x for w in self.restorer.forms(word) for x in (w, *(f"{w[:n]}^" for n in STEMS if len(w) > n))}
         return tuple(found) if self.vocabulary is None else tuple(self.vocabulary[x] for x in found if x in self.vocabulary)
 
     def __call__(self, text: str) -> set:
