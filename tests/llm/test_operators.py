@@ -284,6 +284,15 @@ def test_quality_verdicts(spark):
     assert quality.judge(odd_docs(spark)).count() == odd_docs(spark).count() and quality.judge(empty_docs(spark)).count() == 0
 
 
+def test_passing_goes_by_row(spark):
+    good = [" ".join(f"word{(i * 7 + k * k) % 997}" for k in range(80 + i)) for i in range(6)]
+    rows = [(None, good[0], "en", "a"), (None, good[1], "en", None), (None, "junk", "en", "a"), (None, None, None, "en"), (5, good[2], "en", "a"), (5, "short", "en", "a"), (5, good[3], "en", "a"), (6, good[4], "de", "b"), (6, good[4], "de", "b"), (7, "", "de", "b")]
+    got = quality.passing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert got.columns == ["doc_id", "text", "lang", "source"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if len((r[1] or "").split()) >= 50)
+    assert quality.passing(empty_docs(spark)).count() == 0
+
+
 # --- 7: mixture
 
 

@@ -57,6 +57,12 @@ def salt_of(col: Column) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int")
 
 
+def hashes_of(*names: str) -> dict[str, Column]:
+    """_h1 and _h2, 128 bits of hash of some columns as text; nulls are values of their own."""
+    parts = [x for n in names for x in (F.col(n).isNull(), F.col(n).cast("string"))]
+    return {f"_h{i}": F.xxhash64(F.lit(i), *parts) for i in (1, 2)}
+
+
 def with_key_min(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """df with min(value) over the rows of equal key; any one key may hold any share of the rows.
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, small, table
+from .common import BLANKS, cut, hashes_of, small, table
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATS = 50, 50
@@ -66,15 +66,15 @@ def scale(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row."""
+def counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row, with the columns to keep."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"), *keep)
     trimmed = F.btrim("text", F.lit(BLANKS))
     d = d.withColumn("words", F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
     d = d.select(
-        "doc_id", "lang", "source", "words", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", "source", *keep, "words", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -161,9 +161,9 @@ def mcd(rows: DataFrame) -> DataFrame:
 JUNK = ("v_symbols", "v_lines", "v_repeats", "v_length")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """counts() with distance (double, null where no estimate is) and kept."""
-    d = cut(_vector(counts(docs)))
+    d = cut(_vector(counts(docs, keep)))
     fit = d.where(~F.col("base_failed")).select(F.explode(F.array("own", "pooled")).alias("grp"), *NAMES)
     found = cut(mcd(fit))
     estimate = [c for c in found.columns if c != "grp"]
@@ -178,7 +178,7 @@ def judge(docs: DataFrame) -> DataFrame:
         worse = x if worse is None else worse | x
     d2 = _distance()
     verdict = F.coalesce(~((d2 > chi2_quantile(CUTOFF, P)) & worse), F.lit(True))
-    return d.join(chosen, "own", "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
+    return d.join(chosen, "own", "left").select(*keep, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +186,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """docs without the rows that judge() rejects; rows meet their verdict by doc_id, and rows that repeat a doc_id by their worst."""
-    gone = judge(docs).groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("_kept")).where("_kept = 0").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows that judge() rejects. A verdict depends on text, lang and source only, so rows meet theirs by doc_id and hashes of these."""
+    keyed = docs.withColumns(hashes_of("text", "lang", "source"))
+    gone = judge(keyed, ("_h1", "_h2")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    return keyed.join(gone, same, "left_anti").drop("_h1", "_h2")
