@@ -348,6 +348,15 @@ def test_keep_first(spark):
     assert simhash.keep_first(empty_docs(spark)).count() == 0
 
 
+def test_keep_first_goes_by_row(spark):
+    text = [" ".join(f"w{(i * 131 + k * k * (i + 3)) % 9973}" for k in range(120)) for i in range(6)]
+    rows = [(5, text[0], "a"), (5, text[1], "b"), (3, text[1], "c"), (5, text[2], "d"), (None, text[3], "e"), (None, text[3], "e"), (None, text[4], "f"), (None, text[0], "g"), (9, text[5], "h"), (9, text[5], "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = simhash.keep_first(d)
+    want = [(5, text[0], "a"), (3, text[1], "c"), (5, text[2], "d"), (None, text[3], "e"), (None, text[4], "f"), (9, text[5], "h")]
+    assert got.columns == d.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 # --- 9: token files
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, salt_of, small_batches, table, with_key_min
+from .common import components, cut, hashes_of, salt_of, small_batches, table, with_key_min
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -52,16 +52,16 @@ def simhash(raw: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) for each row of docs, with the columns (long) to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array([simhash(x.as_py(), shingle) for x in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], ["doc_id", "fp", *keep])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), *keep).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def _variants(fp: Column) -> Column:
@@ -122,15 +122,15 @@ def links(fps: DataFrame) -> DataFrame:
     return found.union(met.groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component, component_id) for each row of docs; component is the group's smallest fingerprint."""
-    d = cut(fingerprints(docs, shingle).withColumn("_salt", salt_of(F.col("doc_id"))))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component, component_id) for each row of docs, with the columns (long) to keep; component is the group's smallest fingerprint."""
+    d = cut(fingerprints(docs, shingle, keep).withColumn("_salt", salt_of(F.col("doc_id"))))
     part = cut(d.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")))
     whole = cut(part.groupBy("fp").agg(F.min("least").alias("least")))
     comp = components(links(whole.select("fp")))
     named = whole.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = with_key_min(named, "component", "least", "component_id").select("fp", "component", "component_id")
-    return d.join(part.select("fp", "_salt").join(named, "fp"), ["fp", "_salt"]).select("doc_id", "fp", "component", "component_id")
+    return d.join(part.select("fp", "_salt").join(named, "fp"), ["fp", "_salt"]).select("doc_id", "fp", "component", "component_id", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,17 +139,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id.
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, and of its rows that of the smallest hash of text.
 
-    Of rows that repeat a doc_id, one stays. Rows without a doc_id give way to rows with one; a group of such rows only keeps one of them.
+    Rows without a doc_id give way to rows with one. Different texts of one doc_id are judged each in its own group.
     """
-    found = cut(near_duplicates(docs))
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("ok"), F.count(F.lit(1)).alias("n"))
-    gone = by_id.where("ok = 0 or n > 1").select(F.col("doc_id").alias("_gone"))
-    again = by_id.where("ok = 1 and n > 1").select(F.col("doc_id").alias("_more"))
-    single = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeats = docs.join(again, F.col("doc_id") == F.col("_more"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component")).distinct()
-    fp_of = F.arrow_udf(lambda t: pa.array([simhash((x.as_py() or "").encode()) for x in t], pa.int64()), "long")
-    one_each = docs.where("doc_id is null").withColumn("_own", fp_of("text")).join(nameless, F.col("_own") == F.col("_fp")).dropDuplicates(["_component"]).drop("_own", "_fp", "_component")
-    return single.unionByName(repeats).unionByName(one_each)
+    keyed = docs.withColumns(hashes_of("text"))
+    of = ["doc_id", "_h1", "_h2"]
+    rows = near_duplicates(keyed, keep=("_h1", "_h2")).groupBy("component", *of).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *of, "n")).alias("at"))
+    first = cut(first.select(F.col("at.doc_id").alias("_id"), F.col("at._h1").alias("_f1"), F.col("at._h2").alias("_f2"), F.col("at.n").alias("n")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))
+    single = keyed.join(first.where("n = 1"), same, "left_semi")
+    repeats = keyed.join(first.where("n > 1"), same, "left_semi").dropDuplicates(of)
+    return single.unionByName(repeats).drop("_h1", "_h2")
