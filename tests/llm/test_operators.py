@@ -94,13 +94,47 @@ def test_vectors_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_graph_recall():
+def brute_links(x, least=vectors.COSINE):
+    hit = x @ x.T >= least
+    np.fill_diagonal(hit, False)
+    least = np.arange(len(x))
+    while True:
+        new = np.minimum(least, np.where(hit, least[None, :], len(x)).min(axis=1))
+        if (new == least).all():
+            return hit.sum(axis=1), least
+        least = new
+
+
+@pytest.mark.parametrize("case", ["groups", "crowd", "halo", "sparse", "same direction"])
+def test_graph_by_brute_force(case):
     rng = np.random.default_rng(0)
-    x = vectors.unit(np.repeat(rng.normal(size=(150, 32)), 10, axis=0) + rng.normal(size=(1500, 32)) * 0.2)
-    g = vectors.build(x.astype(np.float32), vectors._levels(np.arange(len(x))))
-    q, k = vectors.links_between(g, x, x, True)
-    want = np.triu(x @ x.T >= vectors.COSINE, 1)
-    assert len(q) >= 0.99 * want.sum() and want[q, k].all()
+    x = {
+        "groups": lambda: np.repeat(rng.normal(size=(150, 32)), 10, axis=0) + rng.normal(size=(1500, 32)) * 0.2,
+        "crowd": lambda: np.vstack([rng.normal(size=(1, 32)) + rng.normal(size=(1200, 32)) * 0.05, rng.normal(size=(600, 32))]),
+        "halo": lambda: np.vstack([rng.normal(size=(1, 32)) + rng.normal(size=(900, 32)) * 0.3, rng.normal(size=(300, 32))]),
+        "sparse": lambda: np.vstack([y := rng.normal(size=(1500, 32)), y[:9] + rng.normal(size=(9, 32)) * 0.2]),
+        "same direction": lambda: np.abs(rng.normal(size=(300, 1))) * np.ones((1, 32)) + rng.normal(size=(300, 32)) * 1e-9,
+    }[case]()
+    x = vectors.unit(x)
+    links, least = vectors.links_between(x, np.arange(len(x)))
+    want, small = brute_links(x)
+    assert links.sum() >= 0.995 * want.sum() and (links <= want).all() and want.sum() > 0
+    assert (least == small).mean() > 0.995
+
+
+def test_recall_over_shards(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x = np.vstack([x, x[:60] + rng.normal(size=(60, 24)) * 0.2])  # few links, most pairs of shards have none
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, capacity=300).collect()}
+    want, _ = brute_links(vectors.unit(x))
+    found = sum(min(got[i], n) for i, n in enumerate(want))
+    assert want.sum() > 60 and found >= 0.95 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+    seen = vectors.audits(df, capacity=300).collect()
+    graphs = [r for r in seen if r.q_shard is None]
+    assert len(graphs) == 11 and all(r.truth >= 100 and r.hits >= vectors.AUDIT * r.truth for r in graphs)
+    assert {(r.shard, r.q_shard) for r in seen if r.q_shard is not None} == {(a, b) for b in range(11) for a in range(b + 1)}
 
 
 # --- 2: WARC
@@ -435,7 +469,7 @@ def test_pipeline(spark, sf):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     got = registry.QUERIES[name](spark, sf)
     columns = sorted(got.columns)

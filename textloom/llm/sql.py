@@ -96,3 +96,24 @@ from windows where containment >= {CONTAINED} group by doc_id, name
 """
 
 ORACLES |= {"op5_licence_windows": LICENCES}
+
+#: Vectors by brute force: all pairs within a label, then the smallest vec_id reachable.
+VECTORS = """
+with recursive v as (
+    select vec_id, label, embedding::double[] as e from embeddings
+), good as (
+    select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs as (
+    select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) as (
+    select vec_id, vec_id from v union select r.a, p.b from reach r join pairs p on r.b = p.a
+), n as (
+    select a, count(*) as n from pairs group by a
+), least as (
+    select a, min(b) as component_id from reach group by a
+)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept from v left join n on n.a = v.vec_id join least on least.a = v.vec_id
+"""
+
+ORACLES |= {"op1_hnsw_near_dedup": VECTORS}
