@@ -207,6 +207,27 @@ def test_shards_of_one_hash(spark):
     assert len(got) == 50 and max(sums.values()) <= 200
 
 
+def test_written_shards_fit(spark, tmp_path):
+    rows = [(1, "x" * 90, "a")] * 50 + [(None, "y" * 40, "b")] * 30 + [(i, "z" * (i % 150), "c") for i in range(2, 200)] + [(7, None, "d"), (8, "w" * 500, "e"), (8, "w" * 500, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, bytes string")
+    sharding.write(d, f"file://{tmp_path}/s", 200)
+    got = spark.read.parquet(f"file://{tmp_path}/s")
+    assert sorted(map(repr, map(tuple, got.select("doc_id", "text", "bytes").collect()))) == sorted(map(repr, rows))
+    held = got.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert all((r.n or 0) <= 200 or r.rows == 1 for r in held)
+
+
+def test_directory_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(h), int(b)) for h, b in zip(rng.integers(0, 1 << sharding.BITS, 3000), rng.integers(0, 90, 3000), strict=True)] + [(5, 40)] * 4 + [(6, 90)] * 2
+    got = sharding.placed(spark.createDataFrame(rows, "h long, bytes long"), 100).where("not shard like '%#%'").collect()
+    assert 3000 <= len(got) <= 3002
+    for r in got:
+        size = lambda d: sum(b for h, b in rows if h >> (sharding.BITS - d) == r.h >> (sharding.BITS - d))  # noqa: E731, B023
+        if r.h % 50 == 0 or r.depth > 15:
+            assert size(r.depth) == r.shard_bytes <= 100 < size(r.depth - 1) and r.shard == format(r.h >> (sharding.BITS - r.depth), f"0{r.depth}b")
+
+
 # --- 4: toxicity
 
 

@@ -1,30 +1,31 @@
 """Shards of bounded bytes by extendible hashing, in column expressions only.
 
 The directory is indexed by the leading bits of a document's hash. It starts as one bucket; a bucket above the limit splits on one more bit, and only
-such a bucket. Sums of bytes by prefix decide all splits of a round at once: the bytes of every prefix of every cell of the finest level are summed, a
-prefix above the limit is split, and a cell belongs to its shortest prefix that is not. Cells still too large after a round go on to finer levels.
+such a bucket, until all fit. Bytes are summed once for the prefixes of the directory's finest level and from these for the shorter ones; a bucket is a prefix that fits while its
+parent does not. The directory then has an entry for each prefix of as many bits as the deepest bucket has, and documents meet their entries.
 
 What bits cannot split stays exact: rows that share all bits (repeated doc_ids) and exceed the limit are cut into pieces by a running sum, and a row that is larger than the limit by
 itself is a shard by itself.
 
-Cases: null and empty texts have no bytes. Null doc_ids hash like the empty string. Repeated rows each count. An empty table gives no rows. Extra columns are ignored.
+Cases: null and empty texts have no bytes. Null doc_ids hash like the empty string. Repeated rows each count. A text of any length is measured whole. An empty table gives no rows. Extra columns
+are ignored by assign() and kept by write().
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running_sum, table
+from .common import cut, running_sum, small, table
 
 #: Bytes of text that a shard holds at most.
 LIMIT = 1 << 20
 #: Bits of the hash: the leading hex digits of the md5 of doc_id.
 BITS = 60
-#: Levels of a round after the first, and how far the first goes below the level of the mean shard.
-ROUND, SLACK = 12, 4
+#: Levels of a round after the first, how far the first goes below the level of the mean shard, and levels that are summed at once.
+ROUND, SLACK, STEP = 12, 3, 4
 #: Cells of a directory (about 50 bytes each) up to which it is sent to every executor.
 SMALL = 100_000
 
@@ -38,75 +39,107 @@ def prefix(h: Column, bits: int) -> Column:
     return F.shiftright(h, BITS - bits)
 
 
+def pyramid(cells: DataFrame, low: int, high: int) -> DataFrame:
+    """(depth, bucket, bytes) of every prefix from `low` to `high` bits of cells (bucket: prefix of `high` bits, bytes).
+
+    Some levels at a time are summed from the finest before them, so that all levels together make few more rows than the cells.
+    """
+    base = cells.withColumn("depth", F.lit(high)).select("depth", "bucket", "bytes")
+    out, at = base, high
+    while at > low:
+        to = max(low, at - STEP)
+        up = base.withColumn("up", F.explode(F.sequence(F.lit(1), F.lit(at - to))))
+        coarser = cut(up.select((F.col("depth") - F.col("up")).alias("depth"), F.expr("shiftright(bucket, up)").alias("bucket"), "bytes").groupBy("depth", "bucket").agg(F.sum("bytes").alias("bytes")))
+        out, base, at = out.unionByName(coarser), coarser.where(F.col("depth") == to), to
+    return out
+
+
 def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """(cell_bits, cell, depth, bucket, shard_bytes): which bucket each cell of the finest level belongs to; depth is null for cells of BITS bits above the limit.
+    """(cell_bits, cell, depth, bucket, shard_bytes): the directory, an entry for each prefix of cell_bits bits, and the bucket it points to; depth is null for entries of BITS bits above the limit.
 
-    rows: (h, bytes), no row above the limit.
+    A bucket is a prefix within the limit whose parent, one bit shorter, is above it: two siblings add up to their parent, so each prefix is judged beside its
+    sibling only. Prefixes still above the limit at the finest level go on to a directory of more bits. rows: (h, bytes), no row above the limit.
     """
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     low, high = 0, min(BITS, max(1, math.ceil(math.log2(max(1.0, total / limit))) + SLACK))
     found, open_rows = None, rows
+    pair = F.sum("bytes").over(Window.partitionBy("depth", F.shiftright("bucket", 1)))
     while True:
-        cells = cut(open_rows.withColumn("cell", prefix(F.col("h"), high)).groupBy("cell").agg(F.sum("bytes").alias("bytes")))
-        levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("bucket", F.expr(f"shiftright(cell, {high} - depth)"))
-        fit = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-        first = levels.join(fit, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("at"))
-        placed = cut(cells.join(first, "cell", "left").select(F.lit(high).alias("cell_bits"), "cell", "at.depth", "at.bucket", "at.shard_bytes"))
-        stuck = placed.where("depth is null")
-        done = placed.where("depth is not null")
-        if high == BITS or stuck.isEmpty():
-            return placed if found is None else found.unionByName(placed if high == BITS else done)
+        cells = cut(open_rows.withColumn("bucket", prefix(F.col("h"), high)).groupBy("bucket").agg(F.sum("bytes").alias("bytes")))
+        levels = pyramid(cells, low, high).where(F.col("depth") > 0)
+        whole = cells.agg(F.sum("bytes").alias("bytes")).where((F.lit(low) == 0) & (F.col("bytes") <= limit)).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"), "bytes")
+        split = levels.where(F.col("depth") > low).withColumn("parent", pair).where((F.col("bytes") <= limit) & (F.col("parent") > limit)).drop("parent")
+        buckets = cut(split.unionByName(whole).withColumnRenamed("bytes", "shard_bytes"))
+        top = max(low, buckets.agg(F.max("depth")).first()[0] or 0)  # bits of the directory
+        first = F.expr(f"shiftleft(bucket, {top} - depth)")
+        done = cut(buckets.withColumn("cell", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {top} - depth)") - 1))).select(F.lit(top).alias("cell_bits"), "cell", "depth", "bucket", "shard_bytes"))
         found = done if found is None else found.unionByName(done)
-        open_rows = cut(open_rows.withColumn("cell", prefix(F.col("h"), high)).join(stuck.select("cell"), "cell", "left_semi").select("h", "bytes"))
+        stuck = cut(cells.where(F.col("bytes") > limit))
+        if stuck.isEmpty():
+            return found
+        if high == BITS:
+            none = F.lit(None)
+            return found.unionByName(stuck.select(F.lit(high).alias("cell_bits"), F.col("bucket").alias("cell"), none.cast("int").alias("depth"), none.cast("long").alias("bucket"), none.cast("long").alias("shard_bytes")))
+        keyed = open_rows.withColumn("bucket", prefix(F.col("h"), high))
+        open_rows = cut(keyed.join(small(stuck.select("bucket"), SMALL), "bucket", "left_semi").select("h", "bytes"))
         low, high = high, min(BITS, high + ROUND)
 
 
-def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, doc_bytes, shard, depth, shard_bytes) for each row.
+def placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (h, bytes, and other columns) with shard, depth and shard_bytes.
 
     shard is the bucket's bits, with '#' and a piece's number where bits could not split it; depth counts the bits. Only a shard of one row passes the limit.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), hash_of(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("t"))
     rows = cut(rows)
-    small = rows.where(F.col("bytes") <= limit)
-    where = cut(directory(small.select("h", "bytes"), limit))
+    within = rows.where(F.col("bytes") <= limit)
+    where = cut(directory(within.select("h", "bytes"), limit))
     sizes = [r[0] for r in where.select("cell_bits").distinct().collect()]  # a number for each round
-    few = where.count() <= SMALL
-    placed = None
+    found = None
     for bits in sizes:
-        of = where.where(F.col("cell_bits") == bits).drop("cell_bits")
-        part = small.withColumn("cell", prefix(F.col("h"), bits)).join(F.broadcast(of) if few else of, "cell")
-        placed = part if placed is None else placed.unionByName(part)
+        of = small(where.where(F.col("cell_bits") == bits).drop("cell_bits"), SMALL)
+        part = within.withColumn("cell", prefix(F.col("h"), bits)).join(of, "cell").drop("cell")
+        found = part if found is None else found.unionByName(part)
     name = lambda depth, bucket: F.when(depth == 0, "").otherwise(F.substring(F.lpad(F.bin(bucket), BITS, "0"), F.lit(BITS + 1) - depth, depth))
-    out = lambda df, shard, depth, size: df.select("doc_id", F.col("bytes").alias("doc_bytes"), shard.alias("shard"), depth.cast("int").alias("depth"), size.cast("long").alias("shard_bytes"))
+    out = lambda df, shard, depth, size: df.select(*rows.columns, shard.alias("shard"), depth.cast("int").alias("depth"), size.cast("long").alias("shard_bytes"))
     full = F.lit(BITS)
-    # A row above the limit is a shard by itself, with a number of its own, as such rows may repeat.
-    large = cut(rows.where(F.col("bytes") > limit))
+    # A row above the limit is a shard by itself, with a number of its own, as such rows may repeat. Rows of one hash and size are told apart by a number of chance.
+    apart = ["h", "bytes", "apart"]
+    large = cut(rows.where(F.col("bytes") > limit).withColumn("apart", F.rand(7)))
     single = out(large, F.lit(""), full, F.col("bytes")).limit(0)
     if not large.isEmpty():
-        numbered = running_sum(large.withColumn("one", F.lit(1)), ["h", "t", "bytes"], "one", "number")
+        numbered = running_sum(large.withColumn("one", F.lit(1)), apart, "one", "number")
         single = out(numbered, F.concat(name(full, F.col("h")), F.lit("#large"), F.col("number").cast("string")), full, F.col("bytes"))
-    if placed is None:
+    if found is None:
         return single
-    result = out(placed.where("depth is not null"), name(F.col("depth"), F.col("bucket")), F.col("depth"), F.col("shard_bytes")).unionByName(single)
+    result = out(found.where("depth is not null"), name(F.col("depth"), F.col("bucket")), F.col("depth"), F.col("shard_bytes")).unionByName(single)
     if where.where("depth is null").isEmpty():
         return result
     # Rows of one hash above the limit: pieces that start every `step` bytes of a running sum end within the limit.
-    over = cut(placed.where("depth is null").select("doc_id", "bytes", "h", "t"))
+    over = cut(found.where("depth is null").select(*rows.columns, F.rand(7).alias("apart")))
     step = max(1, limit - (over.agg(F.max("bytes")).first()[0] or 0))
-    summed = running_sum(over, ["h", "t", "bytes"], "bytes", "start")
-    pieces = cut(summed.withColumn("piece", F.floor(F.col("start") / step)))
+    pieces = cut(running_sum(over, apart, "bytes", "start").withColumn("piece", F.floor(F.col("start") / step)))
     held = pieces.groupBy("h", "piece").agg(F.sum("bytes").alias("shard_bytes"))
     pieces = pieces.join(held, ["h", "piece"])
     return result.unionByName(out(pieces, F.concat(name(full, F.col("h")), F.lit("#"), F.col("piece").cast("string")), full, F.col("shard_bytes")))
 
 
+def _measures() -> list[Column]:
+    """bytes and h of a document."""
+    return [F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), hash_of(F.col("doc_id").cast("long")).alias("h")]
+
+
+def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, doc_bytes, shard, depth, shard_bytes) for each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_measures())
+    return placed(rows, limit).select("doc_id", F.col("bytes").alias("doc_bytes"), "shard", "depth", "shard_bytes")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes docs as Parquet, a folder for each shard; rows that repeat a doc_id take the smallest of their shards' names."""
-    shards = assign(docs, limit).groupBy("doc_id").agg(F.min("shard").alias("shard"))
-    met = docs.join(shards.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Writes docs as Parquet, a folder for each shard (column shard, which replaces one of docs); each row goes to the shard that holds it, by its own size and hash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]).alias("row"), *_measures())
+    met = placed(rows, limit).select("row.*", "shard")
     met.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
