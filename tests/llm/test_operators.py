@@ -441,6 +441,49 @@ def test_token_files_of_odd_texts(spark, tmp_path):
     assert token_files.read(spark, path).where("doc_id = 3").count() == 1
 
 
+def test_token_files_on_random_texts():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    model = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    t, own = Tokenizer.from_str(model), token_files.Encoder(model)
+    rng = random.Random(1)
+    signs = list("abcdeABC019 .,;'!?-_<|>\t\n\r\x0b\x1c\u00a0\u00ad\u00aa\u00b2éÉßøŒœ漢😀") + ["’s", "n't", " the ", "<|x|>", "  ", "́"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(4000)]
+    for i in range(0, len(texts), 500):
+        got = own(pa.array(texts[i : i + 500], pa.string()), 2).to_pylist()
+        assert got == [[*e.ids, 2] for e in t.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+
+
+def test_stripes_are_pruned(spark, tmp_path):
+    from pyarrow import orc
+
+    # Words of chance hardly repeat, so files have several stripes of 256 KiB.
+    rng = np.random.default_rng(0)
+    words = np.array([f"w{x}" for x in range(50000)])
+    d = spark.createDataFrame([(i * 3, " ".join(words[rng.integers(0, 50000, 400)])) for i in range(6000)], "doc_id long, text string").repartition(3)
+    path = f"{tmp_path}/o"
+    token_files.write(d, f"file://{path}", P.path("word_bpe_49k.json"), stripe_bytes=1 << 18)
+    files = sorted(f for f in (tmp_path / "o").glob("part-*.orc"))
+    read = [orc.ORCFile(f) for f in files]
+    assert sum(f.nstripes for f in read) > len(files) and max(f.nstripes for f in read) >= 2
+    # Of rows in ascending order, few lie in files and row groups that may hold one doc_id: a lookup reads far less than all.
+    back = token_files.read(spark, f"file://{path}")
+
+    def rows_read(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+        return plan.metrics().apply("numOutputRows").value()
+
+    assert rows_read(back.where("doc_id = 9000")) <= 2000 < 6000 == back.count()
+    assert rows_read(back.where("doc_id = 9001")) == 0 or rows_read(back.where("doc_id = 9001")) <= 1000  # no such id: Bloom filters skip its row group
+    assert back.where("doc_id = 9000").count() == 1 and back.where("doc_id = 9001").count() == 0
+
+
 # --- 10: byte-level BPE
 
 

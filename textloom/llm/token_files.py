@@ -28,21 +28,24 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_dir, remove_dir, running_sum, small_batches, table
 
 END_ID = 2
-ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
+ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.rows.between.memory.checks": "500", "orc.compress": "ZSTD"}
+#: Bytes of a stripe.
+STRIPE = 16 << 20
 #: Bytes of texts that are encoded together.
-TOGETHER = 12 << 20
+TOGETHER = 8 << 20
 
 
 class Encoder:
     """Whole texts through a tokenizer of the tokenizers library whose pre-tokens never span white space.
 
     Texts are split into words and their distinct words counted out in Arrow; what a worker does not remember goes through the library together, as
-    lower-case pre-tokens in one text, split by white space only; the ids that end a word tell them apart. Texts with signs that the library would
-    lower-case, compose or split in ways that depend on more than Latin letters go through it as they are.
+    lower-case pre-tokens in one text, split by white space only; the ids that end a word tell them apart. For these the file's normaliser is left out (texts are lower-case already)
+    and its pre-tokeniser's pattern is replaced by the same pattern here, word by word; merges and ids are always the library's. Texts with signs that the library would
+    lower-case, compose or split in ways that depend on more than Latin letters go through the unchanged tokenizer, and so do all texts where the file is of another kind.
     """
 
     #: Words in each of the two generations that are remembered, and pre-tokens that go through the library in one text.
-    REMEMBERED, TOGETHER = 300_000, 1_000
+    REMEMBERED, TOGETHER = 200_000, 1_000
     ODD = "<\\||[^\t\n\r -~\u00a1-\u00ac\u00ae-\u00ff\u0152\u0153]"
 
     def __init__(self, model: str):
@@ -112,13 +115,15 @@ class Encoder:
         each = [young[w] for w in words]
         if len(young) > self.REMEMBERED:
             self.young, self.old = {}, young
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        sizes = np.fromiter(map(len, each), dtype=np.int32, count=len(each))
         ids = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[index] if len(index) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1]) if len(index) else np.zeros(0, np.int64)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        del split, coded, words, each
+        n = sizes[index]
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])  # an array's offsets are 32 bits, and so are its values' numbers
+        at = np.arange(before[-1], dtype=np.int32)
+        at += np.repeat(starts[index] - before[:-1], n)
         return ids[at], np.diff(before[offsets])
 
     def __call__(self, texts: pa.Array, end: int | None) -> pa.ListArray:
@@ -133,11 +138,9 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum(counts + more)])
         out = np.full(offsets[-1], 0 if end is None else end, dtype=np.int32)
         kind = np.repeat(odd, counts + more)
+        body = np.ones(len(out), dtype=bool)
         if more:
-            body = np.ones(len(out), dtype=bool)
             body[offsets[1:] - 1] = False
-        else:
-            body = np.ones(len(out), dtype=bool)
         out[body & ~kind] = flat
         out[body & kind] = np.fromiter(chain.from_iterable(whole), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
@@ -165,6 +168,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) ->
             if size >= TOGETHER:
                 yield out(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield out(held)
         gc.enable()
@@ -180,12 +184,12 @@ def _encoder(model: str) -> Encoder:
     return Encoder(model)
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, stripe_bytes: int = STRIPE) -> None:
     """Writes each row's ids to ORC files in the folder path, in ascending doc_id order over the files in the order of their names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     last = F.col("doc_id").isNull()
     ordered = own.repartitionByRange(last, "doc_id", F.xxhash64("text")).sortWithinPartitions(last, "doc_id")
-    encode(ordered, tokenizer_path, end_id).write.options(**ORC_OPTIONS).orc(path)
+    encode(ordered, tokenizer_path, end_id).write.options(**ORC_OPTIONS, **{"orc.stripe.size": str(stripe_bytes)}).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
