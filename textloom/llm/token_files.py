@@ -44,8 +44,8 @@ class Encoder:
     lower-case, compose or split in ways that depend on more than Latin letters go through the unchanged tokenizer, and so do all texts where the file is of another kind.
     """
 
-    #: Words in each of the two generations that are remembered, and pre-tokens that go through the library in one text.
-    REMEMBERED, TOGETHER = 200_000, 1_000
+    #: Words that are remembered (those of the last batch stay when there are more), and pre-tokens that go through the library in one text.
+    REMEMBERED, TOGETHER = 500_000, 1_000
     ODD = "<\\||[^\t\n\r -~\u00a1-\u00ac\u00ae-\u00ff\u0152\u0153]"
 
     def __init__(self, model: str):
@@ -66,65 +66,58 @@ class Encoder:
             vocabulary = given["model"]["vocab"]
             self.ends = np.zeros(1 + max(vocabulary.values()), dtype=bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: The words remembered, the ids of all, one after the other, and how many each has.
+        self.words, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def whole(self, texts: list[str]) -> list[tuple[int, ...]]:
         return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remembers lower-case words that are new."""
-        find, known, young = self.pieces, self.known, self.young
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lower-case words, one after the other, and how many each has."""
+        find = self.pieces
         # A word of letters is one pre-token, and one with a sign after it mostly two; other words go through the pattern.
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        parts = [(w[:-1], w[-1]) if w[-1:] in ".," and w[:-1].isalpha() else find(w) for w in other]
-        wanted = {*plain, *chain.from_iterable(parts)}
-        new = [p for p in wanted if p not in known]
-        if len(known) + len(new) > self.REMEMBERED:
-            self.known = known = {}
-            new = list(wanted)
-        for i in range(0, len(new), self.TOGETHER):
-            own, at = new[i : i + self.TOGETHER], 0
-            ids = np.array(self.lean.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids)
-            ends = (np.nonzero(self.ends[ids])[0] + 1).tolist() if len(ids) else []
-            ids = ids.tolist()
-            for p, end in zip(own, ends, strict=True):
-                known[p] = tuple(ids[at:end])
-                at = end
-        young.update(zip(plain, map(known.__getitem__, plain), strict=True))
-        for w, x in zip(other, parts, strict=True):
-            young[w] = tuple(chain.from_iterable([known[p] for p in x]))
+        parts = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1:] in ".," and w[:-1].isalpha() else find(w) for w in words]
+        wanted = list(dict.fromkeys(chain.from_iterable(parts)))
+        ids, ends, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for i in range(0, len(wanted), self.TOGETHER):
+            own = np.array(self.lean.encode_batch_fast([" ".join(wanted[i : i + self.TOGETHER])], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ids.append(own)
+            ends.append(np.nonzero(self.ends[own])[0] + 1 + at)
+            at += len(own)
+        ids, ends = np.concatenate(ids), np.concatenate(ends)
+        if len(ends) != len(wanted):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        of = dict(zip(wanted, range(len(wanted)), strict=True))
+        piece = np.fromiter(map(of.__getitem__, chain.from_iterable(parts)), dtype=np.int32)
+        size = np.diff(ends, prepend=0)
+        before = np.concatenate([[0], np.cumsum(size[piece])])
+        last = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        return ids[_ranges((ends - size)[piece], size[piece])], np.diff(before[last], prepend=0).astype(np.int32)
 
     def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without odd signs, one after the other, and how many each has."""
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         coded = split.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                got = old.get(w)
-                if got is None:
-                    new.append(w)
-                else:
-                    young[w] = got
-        if new:
-            self._learn(new)
-        each = [young[w] for w in words]
-        if len(young) > self.REMEMBERED:
-            self.young, self.old = {}, young
-        sizes = np.fromiter(map(len, each), dtype=np.int32, count=len(each))
-        ids = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        words, index = coded.dictionary, coded.indices.to_numpy()
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        del split, coded, words, each
+        del split, coded
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        new = at < 0
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            flat, sizes = self._learn(fresh.to_pylist())
+            if len(self.words) + len(fresh) > self.REMEMBERED:
+                old = at[~new]
+                starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+                self.flat, self.words, self.sizes = self.flat[_ranges(starts[old], self.sizes[old])], words.filter(pa.array(~new)), self.sizes[old]
+                at[~new] = np.arange(len(old))
+            at[new] = np.arange(len(fresh)) + len(self.words)
+            self.words, self.flat, self.sizes = pa.concat_arrays([self.words, fresh]), np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[at]
+        sizes = self.sizes[at]
         n = sizes[index]
         before = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])  # an array's offsets are 32 bits, and so are its values' numbers
-        at = np.arange(before[-1], dtype=np.int32)
-        at += np.repeat(starts[index] - before[:-1], n)
-        return ids[at], np.diff(before[offsets])
+        return self.flat[_ranges(starts[index].astype(np.int32), n)], np.diff(before[offsets])
 
     def __call__(self, texts: pa.Array, end: int | None) -> pa.ListArray:
         """The ids of each text, with `end` after them. No text is null."""
@@ -146,6 +139,14 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for sizes[i] numbers, for each i."""
+    before = np.cumsum(sizes, dtype=np.int32)
+    out = np.arange(before[-1] if len(before) else 0, dtype=np.int32)
+    out += np.repeat((starts - (before - sizes)).astype(np.int32), sizes)
+    return out
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) -> DataFrame:
     """(doc_id, ids array<int>) for each row, by the tokenizer file at tokenizer_path (on the driver), with end_id after each."""
     with open(tokenizer_path, encoding="utf-8") as f:
