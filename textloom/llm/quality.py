@@ -1,37 +1,42 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinants, in column expressions only.
 
 Each text yields counts (words, symbols, repeated lines and passages); two plain rules reject at once. The others' transformed counts form
-a vector. For each language and source a minimum-covariance-determinant estimate is found by concentration steps: from two
-starts, the share SHARE of rows with the smallest distances gives the next mean and covariance, and the start that ends at the smaller
-determinant is taken, scaled for normal data and re-weighted once. A row whose squared Mahalanobis distance passes the CUTOFF quantile of
-chi-square is rejected if it lies on the side where junk lies (see JUNK).
+a vector. For each language and source, each language, and all texts a minimum-covariance-determinant estimate is found by concentration steps: from two
+starts (mean and covariance; medians with quartile ranges), the share SHARE of rows with the smallest distances gives the next mean and covariance, until no determinant falls any more; the
+start that ends at the smaller determinant is taken, scaled for normal data and re-weighted once. A group leans on the wider one by n / (n + LEAN), its language on all texts, and these on
+a wide prior, so that groups of any size are treated alike and a handful of rows rejects nothing. A row whose squared Mahalanobis distance from its group's estimate passes the CUTOFF quantile of
+chi-square is rejected.
 
-Everything is sums over groups: 20 sums and a quantile sketch a group and step, each pre-aggregated before it is shuffled. Groups with fewer than
-LEAST rows use the estimate of their language, and those too small for that reject nothing.
+Everything is plain sums over groups: moments, and counts of values and distances in bins of fixed edges (one percent of a distance, a tenth of a part's least deviation), from which shares
+and quartiles are read. Sums are made by group and salt first, so that a group's rows never meet in one task.
 
 Cases: null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own. Repeated rows count each for themselves;
-equal distances at a step's threshold are all taken in. An empty table gives no rows. Extra columns are ignored.
+rows in the bin of a step's threshold are all taken in. A text of any length is counted whole, in one task. An empty table gives no rows. Extra columns are ignored by judge() and kept by passing().
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, cut, hashes_of, small, table
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATS = 50, 50
-#: The share of rows that an estimate rests on, and concentration steps.
-SHARE, STEPS = 0.75, 3
-#: Rows of a group that has an estimate of its own.
-LEAST = 100
+#: The share of rows that an estimate rests on, the most concentration steps, and the fall of a log-determinant that counts as one.
+SHARE, STEPS, FALL = 0.75, 8, 1e-3
+#: Rows at which a group's estimate weighs as much as that of the wider group.
+LEAN = 100
 #: Groups (about 250 bytes each) up to which estimates are sent to every executor.
 FEW = 20_000
 #: Quantile of chi-square beyond which a row is rejected.
-CUTOFF = 1 - 1e-6
+CUTOFF = 1 - 1e-9
+#: Sub-groups that sums are made by first.
+SALT = 32
+#: The prior for all texts, in least deviations.
+WIDE = 10
 #: The vector, and the least standard deviation of each part, so that parts that hardly vary reject nothing by rounding.
 PARTS = {"v_words": 0.5, "v_length": 0.25, "v_symbols": 0.05, "v_lines": 0.25, "v_repeats": 0.1}
 NAMES = list(PARTS)
@@ -119,6 +124,19 @@ def _distance(prefix: str = "") -> Column:
     return out
 
 
+def _summed(df: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums by group, first by group and salt: whatever number of tasks hold a group's rows, few partial sums meet in one."""
+    part = df.withColumn("_salt", F.spark_partition_id() % SALT).groupBy(*by, "_salt").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
+    return part.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def _moments(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, m0.., c00..): rows, means and covariances of each group."""
+    one = {"n": F.lit(1)} | {f"s{i}": F.col(x) for i, x in enumerate(NAMES)} | {f"p{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i, j in PAIRS}
+    g = _summed(df, by, one).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+    return g.select(*by, "n", *[f"m{i}" for i in range(P)], *[(F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
 def _factor(g: DataFrame, times: float) -> DataFrame:
     """l00..: the Cholesky factor of `times` the covariances c00.. with the floors added to the diagonal, in place of them, and logdet."""
     for i, j in PAIRS:
@@ -130,55 +148,97 @@ def _factor(g: DataFrame, times: float) -> DataFrame:
     return g.withColumn("logdet", logdet).drop(*[f"c{i}{j}" for i, j in PAIRS])
 
 
-def _moments() -> list[Column]:
-    return [F.avg(n).alias(f"m{i}") for i, n in enumerate(NAMES)] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+def _reached(counted: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, one column a share): the first bin at which the counts of (by, bin, n) reach each share of the group's. A group has as many rows here as it has bins."""
+    w = Window.partitionBy(*by)
+    c = counted.withColumn("_sum", F.sum("n").over(w.orderBy("bin"))).withColumn("_all", F.sum("n").over(w))
+    return c.groupBy(*by).agg(*[F.min(F.when(F.col("_sum") >= s * F.col("_all"), F.col("bin"))).alias(n) for n, s in shares.items()])
+
+
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """(grp, q0.., r0..): medians and quartile ranges as deviations of normal data, by bins of a tenth of the least deviation."""
+    each = F.array(*[F.struct(F.lit(i).alias("part"), F.floor(F.col(n) / (PARTS[n] / 10)).alias("bin")) for i, n in enumerate(NAMES)])
+    counted = _summed(rows.select("grp", F.inline(each)), ["grp", "part", "bin"], {"n": F.lit(1)})
+    found = _reached(counted, ["grp", "part"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+    of = lambda i, x: F.max(F.when(F.col("part") == i, x))
+    width = {i: PARTS[n] / 10 for i, n in enumerate(NAMES)}
+    return found.groupBy("grp").agg(*[of(i, (F.col("mid") + 0.5) * width[i]).alias(f"q{i}") for i in range(P)], *[of(i, (F.col("high") - F.col("low")) * (width[i] / 1.349)).alias(f"r{i}") for i in range(P)])
+
+
+_LOG_STEP = math.log(1.01)
+
+
+def _bin(d2: Column) -> Column:
+    """The bin of a squared distance: bins are one percent wide, from the smallest that matters."""
+    return F.greatest(F.lit(-1), F.floor(F.log(d2 + 1e-6) / _LOG_STEP - math.log(1e-3) / _LOG_STEP)).cast("int")
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """(grp, start, m0.., l00.., logdet): the estimate of each group of rows (grp not null, and NAMES), by the better of two starts."""
+    means = [f"m{i}" for i in range(P)]
+    factors = [f"l{i}{j}" for i, j in PAIRS]
+    columns = ["grp", "start", *means, *factors, "logdet"]
+    whole = _factor(_moments(rows, ["grp"]), 1.0).select("grp", F.lit(0).alias("start"), *means, *factors, "logdet")
+    spread = lambda i: F.sqrt(F.pow(F.col(f"r{i}"), 2) + PARTS[NAMES[i]] ** 2)
+    robust = _quartiles(rows).select("grp", F.lit(1).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in range(P)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS], F.lit(float("inf")).alias("logdet"))
+    now = cut(whole.withColumn("logdet", F.lit(float("inf"))).unionByName(robust).select(*columns))
+    both, by = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), ["grp", "start"]
+    for _ in range(STEPS):
+        known = small(now, FEW)
+        counted = _summed(both.join(known, by).select(*by, _bin(_distance()).alias("bin")), [*by, "bin"], {"n": F.lit(1)})
+        edged = cut(now.join(_reached(counted, by, {"edge": SHARE}), by))
+        near = both.join(small(edged, FEW), by).where(_bin(_distance()) <= F.col("edge")).select(*by, *NAMES)
+        new = cut(_factor(_moments(near, by), scale(SHARE)).select(*columns))
+        # Only a count comes to the driver.
+        fell = new.alias("x").join(now.alias("y"), by).where(F.col("x.logdet") < F.col("y.logdet") - FALL).limit(1).count()
+        now = new
+        if not fell:
+            break
+    best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
+    return cut(best.join(now, by))
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """(grp, m0.., l00..): the minimum-covariance-determinant estimate for each group of rows (grp not null, and NAMES) of at least LEAST rows."""
-    quartiles = [F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i, n in enumerate(NAMES)]
-    first = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *_moments(), *quartiles).where(F.col("n") >= LEAST).drop("n"))
-    columns = ["grp", "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS]]
-    # Two starts: the whole group's mean and covariance, and medians with quartile ranges.
-    spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + PARTS[NAMES[i]] ** 2)
-    robust = first.select("grp", F.lit(1).alias("start"), *[F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(P)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS])
-    now = cut(_factor(first, 1.0).withColumn("start", F.lit(0)).select(*columns).unionByName(robust))
-    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    by = ["grp", "start"]
-    for step in range(STEPS):
-        far = both.join(small(now, FEW), by).select(*by, _distance().alias("d2"))
-        edged = cut(now.join(far.groupBy(*by).agg(F.percentile_approx("d2", F.lit(SHARE), F.lit(10000)).alias("edge")), by))
-        near = both.join(small(edged, FEW), by).where(_distance() <= F.col("edge")).select(*by, *NAMES)
-        now = cut(_factor(near.groupBy(*by).agg(*_moments()), scale(SHARE)).select(*columns, *["logdet"] * (step == STEPS - 1)))
-    best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start")).join(now, by).drop("start", "logdet")
-    best = cut(best)
+    """(grp, n, m0.., c00..): the minimum-covariance-determinant estimate of each group of rows (grp not null, and NAMES), re-weighted, and the group's rows."""
+    best = concentrated(rows).drop("start", "logdet")
     q = chi2_quantile(0.975, P)
     near = rows.join(small(best, FEW), "grp").where(_distance() <= q).select("grp", *NAMES)
-    return _factor(near.groupBy("grp").agg(*_moments()), 0.975 / chi2_cdf(q, P + 2)).drop("logdet")
+    times = 0.975 / chi2_cdf(q, P + 2)
+    g = _moments(near, ["grp"]).drop("n").join(_summed(rows, ["grp"], {"n": F.lit(1)}), "grp")
+    return g.select("grp", "n", *[f"m{i}" for i in range(P)], *[(F.col(f"c{i}{j}") * times).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
-#: Columns by which a rejected row must lie above its group's mean in at least one: a text that is only longer, or has fewer symbols or repeats than most, is not junk.
-JUNK = ("v_symbols", "v_lines", "v_repeats", "v_length")
+def _leaned(own: str, on: list[str], wide: dict[str, Column]) -> dict[str, Column]:
+    """Estimates blended with those of the wider group, by n / (n + LEAN)."""
+    share = F.coalesce(F.col(f"{own}n") / (F.col(f"{own}n") + LEAN), F.lit(0.0))
+    return {x: share * F.coalesce(F.col(f"{own}{x}"), F.lit(0.0)) + (1 - share) * wide[x] for x in on}
+
+
+def estimates(d: DataFrame) -> DataFrame:
+    """(own, m0.., l00..): what each group of d (own, pooled, base_failed, and NAMES) is judged by."""
+    fit = d.where(~F.col("base_failed")).select(F.explode(F.array("own", "pooled", F.lit("*"))).alias("grp"), *NAMES)
+    found = cut(mcd(fit))
+    parts = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in PAIRS]
+    of = lambda name, mark: found.select(F.col("grp").alias(name), *[F.col(c).alias(f"{mark}{c}") for c in ["n", *parts]])
+    groups = d.select("own", "pooled").distinct().withColumn("every", F.lit("*"))
+    every = small(found.where("grp = '*'").select(F.col("grp").alias("every"), *[F.col(c).alias(f"e_{c}") for c in ["n", *parts]]), 1)
+    g = groups.join(of("own", "a_"), "own", "left").join(of("pooled", "b_"), "pooled", "left").join(every, "every", "left")
+    prior = {f"m{i}": F.coalesce(F.col(f"e_m{i}"), F.lit(0.0)) for i in range(P)} | {f"c{i}{j}": F.lit((WIDE * PARTS[NAMES[i]]) ** 2 if i == j else 0.0) for i, j in PAIRS}
+    blend = prior
+    for mark in ("e_", "b_", "a_"):
+        g = g.withColumns({f"x_{k}": v for k, v in _leaned(mark, parts, blend).items()})
+        blend = {k: F.col(f"x_{k}") for k in parts}
+    return _factor(g.select("own", *[F.col(f"x_{k}").alias(k) for k in parts]), 1.0).drop("logdet")
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """counts() with distance (double, null where no estimate is) and kept."""
+    """counts() with distance (double) and kept."""
     d = cut(_vector(counts(docs, keep)))
-    fit = d.where(~F.col("base_failed")).select(F.explode(F.array("own", "pooled")).alias("grp"), *NAMES)
-    found = cut(mcd(fit))
-    estimate = [c for c in found.columns if c != "grp"]
-    groups = d.select("own", "pooled").distinct()
-    of = lambda name, mark: found.select(F.col("grp").alias(name), *[F.col(c).alias(f"{mark}{c}") for c in estimate])
-    chosen = groups.join(of("own", "a_"), "own", "left").join(of("pooled", "b_"), "pooled", "left")
-    chosen = chosen.select("own", *[F.when(F.col("a_m0").isNotNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in estimate])
-    chosen = small(cut(chosen), FEW)
-    worse = None
-    for n in JUNK:
-        x = F.col(n) - F.col(f"m{NAMES.index(n)}") > 3 * PARTS[n]
-        worse = x if worse is None else worse | x
+    chosen = small(cut(estimates(d)), FEW)
     d2 = _distance()
-    verdict = F.coalesce(~((d2 > chi2_quantile(CUTOFF, P)) & worse), F.lit(True))
-    return d.join(chosen, "own", "left").select(*keep, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
+    counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    verdict = F.coalesce(d2 <= chi2_quantile(CUTOFF, P), F.lit(True))
+    return d.join(chosen, "own", "left").select(*keep, "doc_id", "lang", "source", *counted, d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +246,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """docs without the rows that judge() rejects. A verdict depends on text, lang and source only, so rows meet theirs by doc_id and hashes of these."""
-    keyed = docs.withColumns(hashes_of("text", "lang", "source"))
-    gone = judge(keyed, ("_h1", "_h2")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2")).distinct()
+    """docs without the rows that judge() rejects. A verdict depends on text, lang and source only, so rows meet theirs by doc_id and hashes of these. All columns of docs stay, whatever their names."""
+    flat = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source").withColumns(hashes_of("text", "lang", "source"))
+    gone = judge(flat, ("_h1", "_h2")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
-    return keyed.join(gone, same, "left_anti").drop("_h1", "_h2")
+    return flat.select("row", "doc_id", "_h1", "_h2").join(gone, same, "left_anti").select("row.*")
