@@ -5,15 +5,16 @@ range. Sums of sizes by range, then by row, give each row's distributed prefix s
 budget above the source's size takes the whole source so many times and cuts the last epoch.
 
 Cases: null and empty texts have size 0 and are never taken in words; a null source is a source of its own, last in order. Repeated rows count each
-for themselves; equal keys are ordered by doc_id and size, so that only rows equal in both may swap. An empty table gives no rows. Extra columns are ignored.
+for themselves; equal keys are ordered by doc_id and size, and rows equal in source, doc_id and size are one row with a number until the end. A text of any length
+is counted whole. An empty table gives no rows. Extra columns are ignored by mix() and kept by mixed().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import SALTS, WORD, cut, salt_of, small, table
 
 WEIGHTS = (5, 2, 1)
 #: Most epochs of a source.
@@ -50,27 +51,38 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
         free = free & within
 
 
+def _key(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, KEY_DIGITS), 16, 10).cast("long")
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(doc_id, source, size, source_size, target, key, prefix, taken) for each row: prefix is the size of the rows before it in its source's order."""
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, KEY_DIGITS), 16, 10).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")))
-    sources = targets(cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))), weights, epochs)
-    sources = cut(sources.withColumn("ranges", F.least(F.lit(RANGES), F.ceil(F.col("n_rows") / RANGE_ROWS)).cast("long")))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), _key(F.col("doc_id")).alias("key"))
+    # Rows equal in all that counts are one row with a number here, so that copies under one doc_id or none fill no window.
+    sized = cut(sized.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")))
+    sources = targets(cut(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))), weights, epochs)
     # Sources meet rows by (source, salt of the key), as one source may hold most rows.
+    sources = sources.select(F.col("source").alias("_source"), "source_size", "target", F.least(F.lit(RANGES), F.ceil(F.col("n_rows") / RANGE_ROWS)).cast("long").alias("ranges"))
+    dealt = small(cut(sources.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))), 10_000 * SALTS)
     top = 16**KEY_DIGITS
-    rows = sized.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    rows = sized.withColumn("_salt", salt_of(F.col("key"))).alias("d").join(dealt.alias("s"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("d._salt") == F.col("s._salt"))).drop("_source", "_salt")
     rows = cut(rows.withColumn("range", F.floor(F.col("key") * (F.col("ranges") / F.lit(float(top)))).cast("long")))
-    by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    by_range = rows.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("range_size"))
     before = F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     by_range = by_range.withColumn("before", F.coalesce(before, F.lit(0))).withColumnsRenamed({"source": "_source", "range": "_range"}).drop("range_size")
     rows = rows.join(by_range, rows["source"].eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).drop("_source", "_range")
-    within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("prefix", F.col("before") + F.coalesce(within, F.lit(0)))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("prefix", F.col("prefix") + F.col("_copy") * F.col("size"))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", whole).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("prefix")))
-    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("before", "ranges", "n_rows")
+    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("before", "ranges", "copies", "_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +90,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs as the mix takes them: each whole text as often as it is taken, the last epoch's cut rounded to whole texts.
+    """The rows of docs as the mix takes them: each whole text as often as it is taken, the last epoch's cut rounded to whole texts. All columns of docs stay, whatever their names.
 
     A row at a cut is taken where at least half its words are. A row without a word is taken as often as its source's epochs say.
     """
@@ -87,9 +99,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     times = F.col("epochs") + F.when(F.col("size") > 0, (2 * part >= F.col("size")).cast("long")).otherwise((F.col("prefix") < F.col("rest")).cast("long"))
     taken = rows.groupBy("doc_id", "source", "size").agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_rows"))
     taken = taken.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
-    own = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    met = own.join(taken, own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    flat = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    met = flat.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     # Rows that repeat a doc_id share what they are taken together; the hash of the text says which get one more.
-    more = (F.pmod(F.xxhash64("text"), F.col("_rows")) < F.col("_times") % F.col("_rows")).cast("long")
+    more = (F.pmod("hash", F.col("_rows")) < F.col("_times") % F.col("_rows")).cast("long")
     each = (F.floor(F.col("_times") / F.col("_rows")) + more).cast("int")
-    return met.where(each > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    return met.withColumn("_each", each).where("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select("row.*")
