@@ -139,16 +139,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id, and of its rows that of the smallest hash of text.
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, and of its rows that of the smallest hash of text, then of the smallest hash of the whole row.
 
-    Rows without a doc_id give way to rows with one. Different texts of one doc_id are judged each in its own group.
+    Rows without a doc_id give way to rows with one. Different texts of one doc_id are judged each in its own group. All columns of docs stay, whatever their names.
     """
-    keyed = docs.withColumns(hashes_of("text"))
+    flat = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(hashes_of("text"))
     of = ["doc_id", "_h1", "_h2"]
-    rows = near_duplicates(keyed, keep=("_h1", "_h2")).groupBy("component", *of).agg(F.count(F.lit(1)).alias("n"))
+    rows = near_duplicates(flat, keep=("_h1", "_h2")).groupBy("component", *of).agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *of, "n")).alias("at"))
     first = cut(first.select(F.col("at.doc_id").alias("_id"), F.col("at._h1").alias("_f1"), F.col("at._h2").alias("_f2"), F.col("at.n").alias("n")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))
-    single = keyed.join(first.where("n = 1"), same, "left_semi")
-    repeats = keyed.join(first.where("n > 1"), same, "left_semi").dropDuplicates(of)
-    return single.unionByName(repeats).drop("_h1", "_h2")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))
+    flat = flat.drop("text")
+    single = flat.join(first.where("n = 1"), same, "left_semi").select("row.*")
+    repeats = flat.join(first.where("n > 1"), same, "left_semi").withColumn("_h3", F.xxhash64(F.to_json("row"))).groupBy(*of).agg(F.min_by("row", "_h3").alias("row")).select("row.*")
+    return single.unionByName(repeats)
