@@ -6,11 +6,11 @@ under a character trigram model of all texts and the channel's costs. Plain word
 a word, a doubled letter) gives both words, decoded and as it stands. A logistic model over restored words and their beginnings gives the score.
 
 What is gathered: trigram counts of all texts (28^3 cells, whatever the input), and the model, fitted on at most SAMPLE labelled rows that are not held out
-(lowest hashes of doc_id first) with at most FEATURES features. Labels, lang, source and doc_id are no inputs of a score.
+(lowest hashes of doc_id first); its features are all words of these whose counts differ between the labels beyond chance. Labels, lang, source and doc_id are no inputs of a score.
 
 Cases: null and empty texts get the score of a text without any feature. Repeated rows are each scored. Several labels of a doc_id count as toxic if half of them
-are. Rows of one text count once in fitting. Without labels of both kinds all scores are the share of toxic labels (0 without labels). A null doc_id is not held out.
-Extra columns are ignored.
+are. Rows of one text count once in fitting, by the same rule. Without labels of both kinds all scores are the share of toxic labels (0 without labels). A null doc_id is not held out.
+A text of any length is scored whole by one task. Extra columns are ignored, and kept by clean().
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import cut, small_batches, table
 
-#: Most labelled rows that the model is fitted on, and most features it has.
-SAMPLE, FEATURES = 20_000, 4_096
-#: A feature is in this many texts at least, and this many standard deviations away from chance.
+#: Most labelled rows that the model is fitted on.
+SAMPLE = 20_000
+#: The model's own choice of features within its sample: in this many texts at least, and this many standard deviations away from chance.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
 #: Of five parts of the rows by crc32(doc_id), the one at 0 is held out.
 FOLDS = 5
@@ -197,7 +197,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     first = cut(rows.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("h")).join(F.broadcast(first), "_id")
-    return cut(texts.groupBy("h").agg(F.min("_id").alias("_id"), F.min("y").alias("y")).groupBy("_id").agg(F.min("y").alias("y")))
+    half = lambda c: (F.avg(c) >= 0.5).cast("int").alias(c)
+    return cut(texts.groupBy("h").agg(F.min("_id").alias("_id"), half("y")).groupBy("_id").agg(half("y")))
 
 
 def _fit(rows: pa.Table, size: int) -> np.ndarray:
@@ -251,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Restorer, dict[str, int],
     chance = (F.col("n0") + F.col("n1")) / n
     z = (F.col("n1") - n1 * chance) / F.sqrt(n * share * (1 - share) * chance)
     counted = texts.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = counted.where(F.col("n0") + F.col("n1") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    vocabulary = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}
+    best = counted.where(F.col("n0") + F.col("n1") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy("feature")
+    vocabulary = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}  # bounded by the sample's words
     known = spark.sparkContext.broadcast(vocabulary)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,18 +265,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Restorer, dict[str, int],
     return restorer, vocabulary, _fit(rows, len(vocabulary))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with _score (double, 0 to 1)."""
-    restorer, vocabulary, weights = train(docs, labels)
+def score(docs: DataFrame, labels: DataFrame, name: str = "_score") -> DataFrame:
+    """docs with a column `name`, which they lack (double, 0 to 1)."""
+    restorer, vocabulary, weights = train(docs.select("doc_id", "text"), labels)
     model = docs.sparkSession.sparkContext.broadcast((restorer, vocabulary, weights))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, w = model.value
         read, base = Reader(own, known), float(w[-1])
         for b in batches:
             got = [1 / (1 + math.exp(-max(-40.0, min(40.0, base + sum(w[i] for i in sorted(read(t.as_py() or ""))))))) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, name])
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, schema)
@@ -288,5 +289,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic."""
-    return score(docs, labels).where("_score < 0.5").drop("_score")
+    """docs without those predicted toxic. All columns of docs stay, whatever their names."""
+    name = "_score"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return score(docs, labels, name).where(F.col(name) < 0.5).drop(name)
