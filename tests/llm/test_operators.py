@@ -325,10 +325,33 @@ def test_estimates_resist_outliers(spark):
     bad = rng.normal(30, 1, (200, 5))
     df = spark.createDataFrame([("g", *map(float, x)) for x in np.vstack([clean, bad])] + [("few", *[0.0] * 5)] * 5, "grp string, " + ", ".join(f"{n} double" for n in quality.NAMES))
     got = {r.grp: r for r in quality.mcd(df).collect()}
-    assert set(got) == {"g"}
+    assert {k: r.n for k, r in got.items()} == {"g": 1000, "few": 5}
     assert np.allclose([got["g"][f"m{i}"] for i in range(5)], clean.mean(axis=0), atol=0.25)
-    factor = np.array([[got["g"][f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    assert np.allclose(np.diag(factor @ factor.T), [1, 2, 3, 1, 2], rtol=0.35, atol=0.3)
+    assert np.allclose([got["g"][f"c{i}{i}"] for i in range(5)], [1, 2, 3, 1, 2], rtol=0.35, atol=0.3)
+    assert all(abs(got["few"][f"m{i}"]) + abs(got["few"][f"c{i}{i}"]) < 1e-9 for i in range(5))
+
+
+def test_estimates_by_exhaustive_search(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    floors = np.diag([v**2 for v in quality.PARTS.values()])
+    groups = {str(k): np.vstack([rng.normal(0, 1, (10, 5)) * [1, 2, 1, 0.5, 1], rng.normal(12, 1, (2, 5))]) for k in range(10)}
+    df = spark.createDataFrame([(g, *map(float, x)) for g, rows in groups.items() for x in rows], "grp string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+    got = {r.grp: r for r in quality.concentrated(df).collect()}
+    near = 0
+    for g, x in groups.items():
+        det = lambda rows: 0.5 * np.linalg.slogdet(quality.scale(quality.SHARE) * np.cov(rows.T, bias=True) + floors)[1]
+        dets = sorted(det(x[list(s)]) for s in combinations(range(12), 9))
+        near += got[g].logdet <= dets[len(dets) // 20]
+        assert max(abs(got[g][f"m{i}"]) for i in range(5)) < 3  # the outliers are outside
+    assert near >= 8
+
+
+def test_small_groups_reject_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{rng.integers(0, 9999)}" for _ in range(60 + 5 * i)), "xx", f"s{i % 3}") for i in range(7)]
+    assert quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").count() == 0
 
 
 def test_quality_verdicts(spark):
@@ -507,6 +530,28 @@ def test_bpe_like_tiktoken(spark):
     assert sorted(bytes(r.raw) for r in back) == sorted(t.encode() for ts in texts.values() for t in ts)
 
 
+def test_bpe_on_random_texts():
+    import random
+
+    import pyarrow as pa
+    import tiktoken
+
+    raw = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, special_tokens={})
+    codec = bpe.Codec(raw, P.PATTERN)
+    rng = random.Random(2)
+    signs = list("abcdeABC0123 .,;'!?-_<|>\t\n\r\x0b\x1c\u00a0\u00ad\u2003éÉßøŒœ漢😀") + ["'s", "n't", " the ", "  ", "́"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(4000)]
+    for by_space in (True, False):
+        for i in range(0, len(texts), 500):
+            ids, ends = codec.encode_all(pa.array(texts[i : i + 500], pa.string()), by_space)
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [own.encode_ordinary(t) for t in texts[i : i + 500]]
+    # A pattern under which a space may stand anywhere: whole texts only.
+    wide = tiktoken.Encoding("wide", pat_str=r"[a-z ]+|[^a-z ]+", mergeable_ranks=own._mergeable_ranks, special_tokens={})
+    ids, ends = bpe.Codec(raw, r"[a-z ]+|[^a-z ]+").encode_all(pa.array(["a b c d", "the of and"], pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [wide.encode_ordinary(t) for t in ("a b c d", "the of and")]
+
+
 def test_perfect_hash():
     keys = [str(i).encode() for i in range(5000)]
     h = bpe.PerfectHash(keys, list(range(5000)))
@@ -517,6 +562,46 @@ def test_perfect_hash():
 # --- all
 
 
+INNER = """_score _h1 _h2 _h3 _gone _g1 _g2 _id _f1 _f2 row fp component component_id _salt _source _size _words _times _rows _each _copy _more hash size key range _range prefix grp own pooled start n words lines
+    windows order found distance kept v_words v_lines m0 l00 c00 bucket cell bytes h shard_bytes depth least y doc_bytes copies taken epochs rest target source_size base_failed n_words apart raw bin edge""".split()
+
+
+def test_clashing_names(spark):
+    """Every stage keeps columns that are named as its own inside; every operator passes over them."""
+    d = odd_docs(spark).drop("size", "fp", "key", "_salt")
+    good = spark.createDataFrame([(100 + i, " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(80 + i)), "en", "a") for i in range(6)], d.schema)
+    d = d.unionByName(good)
+    wide = d.withColumns({n: F.lit(f"user's {n}") for n in INNER})
+    for stage in (lambda x: toxicity.clean(x, labels(spark)), quality.passing, simhash.keep_first, mixing.mixed):
+        got, want = stage(wide), stage(d)
+        assert got.dtypes == wide.dtypes
+        assert sorted(map(repr, map(tuple, got.select(d.columns).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+        assert got.where(" or ".join(f"`{n}` <> \"user's {n}\"" for n in INNER)).count() == 0
+    for op in (sharding.assign, licences.scan, quality.judge, mixing.mix, simhash.near_duplicates, bpe.default_round_trip):
+        assert sorted(map(repr, op(wide).drop("distance").collect())) == sorted(map(repr, op(d).drop("distance").collect()))
+
+
+def test_megabytes_in_a_text(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 90000, 400_000)) + " s t u p i d Released under the MIT License. " + "x" * 1_000_000
+    rows = [(1, text, "en", "a"), (2, text, "en", "a"), (3, "short", "en", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size = len(text.split())
+    assert len(text) > 3_000_000 and {r.doc_bytes for r in sharding.assign(d).collect()} == {len(text), 5}
+    assert toxicity.score(d, labels(spark)).count() == 3
+    assert {r.doc_id for r in licences.scan(d).where("licence = 'MIT-line'").collect()} == {1, 2}
+    assert {r.n_words for r in quality.counts(d).collect()} == {size, 1} and {r.size for r in mixing.mix(d).collect()} == {size, 1}
+    got = {r.doc_id: r for r in simhash.near_duplicates(d).collect()}
+    assert got[1].component_id == got[2].component_id == 1 and got[1].fp % (1 << 64) == brute_simhash(text)
+    back = {r.doc_id: r.decoded_sha256 for r in bpe.default_round_trip(d).collect()}
+    assert back[1] == hashlib.sha256(text.encode()).hexdigest()
+    token_files.write(d, f"file://{tmp_path}/o", P.path("word_bpe_49k.json"))
+    assert token_files.read(spark, f"file://{tmp_path}/o").where("size(ids) > 400000").count() == 2
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    warc.write(pages, f"file://{tmp_path}/w")
+    assert {r.payload_bytes for r in warc.read(spark, f"file://{tmp_path}/w").collect()} == {len(text), 5}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import ranges, small_batches, table
 
-#: Pre-tokens in each of the two generations whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Stretches whose ids a worker remembers, and pre-tokens in each of two generations.
+REMEMBERED, PIECES = 500_000, 100_000
 
 
 #: A space at an end or beside other white space.
@@ -113,8 +113,11 @@ class Codec:
         self.bytes_of = [b""] * (1 + max((r for _, r in pairs), default=-1))
         for t, r in pairs:
             self.bytes_of[r] = t
-        self.decimal = [str(r) for r in range(len(self.bytes_of))]
+        #: Each id in decimal with a space, and each token.
+        self.decimal, self.tokens = pa.array([f"{r} " for r in range(len(self.bytes_of))], pa.string()), pa.array(self.bytes_of, pa.binary())
         self.pattern, self.find = pattern, None
+        #: The stretches remembered, the ids of all, one after the other, and how many each has.
+        self.words, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a pre-token that is not in the vocabulary: the pair of the lowest rank merges first, the leftmost of equals."""
@@ -157,49 +160,35 @@ class Codec:
         for piece in {p for p in pieces if p not in young}:
             young[piece] = old.get(piece) or self.resolve(piece)
         ids = list(chain.from_iterable(map(young.__getitem__, pieces)))
-        if len(young) > REMEMBERED:
+        if len(young) > PIECES:
             self.young, self.old = {}, young
         return ids
 
-    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array, by_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none null), one after the other, and where each text's begin and end.
 
-        Where every space has a sign on both sides, no pre-token reaches over one but as its first sign; so the distinct stretches from space
-        to space are counted out in Arrow and resolved once. Other texts go whole.
+        by_space says of the pattern that, where every space has a sign that is no white space on both sides, a pre-token holds a space as its first sign only. Then
+        the distinct stretches from space to space are counted out in Arrow and resolved once. Texts with other spaces, and all texts under other patterns, go whole.
         """
         if self.find is None:
             self.encode("")
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) if by_space else np.ones(len(texts), dtype=bool)
         whole = [self.encode(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         coded = split.flatten().dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
-        words = [f" {w}" for w in coded.dictionary.to_pylist()]
-        offsets = split.offsets.to_numpy().astype(np.int64) - (split.offsets[0].as_py() if len(split) else 0)
+        index, plain = coded.indices.to_numpy().astype(np.int32), coded.dictionary
+        offsets = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
+        words = pc.binary_join_element_wise(pa.scalar(" "), plain, "")
         if len(index):  # the first stretch of a text has no space before it
             heads = offsets[:-1]
             first, at = np.unique(index[heads], return_inverse=True)
             index[heads] = len(words) + at
-            words += [words[k][1:] for k in first.tolist()]
-        young, old, find = self.young, self.old, self.find
-        each = []
-        for w in words:
-            got = young.get(w)
-            if got is None:
-                got = old.get(w)
-                if got is None:
-                    pieces = find(w)
-                    got = self.resolve(w) if len(pieces) == 1 else tuple(chain.from_iterable([self._piece(p) for p in pieces]))
-                young[w] = got
-            each.append(got)
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[index] if len(index) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1])] if len(index) else np.zeros(0, np.int32)
+            words = pa.concat_arrays([words, plain.take(pa.array(first))])
+        del split, coded, plain
+        starts, sizes = self._known(words)
+        n = sizes[index]
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        ids = self.flat[ranges(starts[index], n)]
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = np.diff(before[offsets]) if len(offsets) > 1 else 0
         counts[odd] = [len(x) for x in whole]
@@ -209,6 +198,26 @@ class Codec:
         out[kind] = np.fromiter(chain.from_iterable(whole), dtype=np.int32)
         return out, ends
 
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each stretch begin in self.flat, and how many there are; new stretches are resolved. When too many are remembered, those of this batch stay."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        new = at < 0
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            each = [tuple(chain.from_iterable(map(self._piece, self.find(w)))) for w in fresh.to_pylist()]
+            if len(self.young) > PIECES:
+                self.young, self.old = {}, self.young
+            sizes = np.fromiter(map(len, each), dtype=np.int32, count=len(each))
+            flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(sizes.sum()))
+            if len(self.words) + len(fresh) > REMEMBERED:
+                old = at[~new]
+                starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+                self.flat, self.words, self.sizes = self.flat[ranges(starts[old], self.sizes[old])], words.filter(pa.array(~new)), self.sizes[old]
+                at[~new] = np.arange(len(old))
+            at[new] = np.arange(len(fresh)) + len(self.words)
+            self.words, self.flat, self.sizes = pa.concat_arrays([self.words, fresh]), np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[at], self.sizes[at]
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         got = self.young.get(piece)
         if got is None:
@@ -257,24 +266,25 @@ def decode(encoded: DataFrame, path: str, pattern: str = "") -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() in one pass, and digests of what they return."""
+def round_trip(docs: DataFrame, path: str, pattern: str, by_space: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() in one pass, and digests of what they return. by_space: see Codec.encode_all()."""
     ranks = _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        dec, decimal = codec.decode, codec.decimal.__getitem__
         gc.disable()  # many small tuples, and no cycles among them
 
+        def digests(strings: pa.Array, ids: pa.Array, ends: list[int], less: int) -> pa.Array:
+            """Digests of the strings of each text's ids, one after the other, without the last `less` bytes."""
+            all_ = strings.take(ids)
+            at, raw = np.frombuffer(all_.buffers()[1], dtype=np.int32)[ends].tolist(), memoryview(all_.buffers()[2] or b"")
+            return pa.array([hashlib.sha256(raw[i : max(i, j - less)]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())
+
         def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            ids, ends = codec.encode_all(t.column(1).chunk(0))
-            a, d = [], []
-            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                own = ids[i:j].tolist()
-                a.append(hashlib.sha256(" ".join(map(decimal, own)).encode()).hexdigest())
-                d.append(hashlib.sha256(dec(own)).hexdigest())
-            return pa.RecordBatch.from_arrays([t.column(0).chunk(0), pa.array(np.diff(ends), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, ends = codec.encode_all(t.column(1).chunk(0), by_space)
+            ids = pa.array(ids)
+            return pa.RecordBatch.from_arrays([t.column(0).chunk(0), pa.array(np.diff(ends), pa.int64()), digests(codec.decimal, ids, ends, 1), digests(codec.tokens, ids, ends, 0)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         held, size = [], 0
         for b in batches:
@@ -284,6 +294,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             if size >= TOGETHER:
                 yield out(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield out(held)
         gc.enable()
@@ -295,7 +306,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def default_round_trip(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, by_space=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +128,11 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFr
     within = F.sum(value).over(Window.partitionBy("_part").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1))
     joined = parts.join(F.broadcast(sums), "_part")  # a row for each partition
     return joined.withColumn(out, (F.col("_before") + F.coalesce(within, F.lit(0))).cast("long")).drop("_part", "_before")
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for sizes[i] numbers, for each i."""
+    before = np.cumsum(sizes, dtype=np.int32)
+    out = np.arange(before[-1] if len(before) else 0, dtype=np.int32)
+    out += np.repeat((starts - (before - sizes)).astype(np.int32), sizes)
+    return out

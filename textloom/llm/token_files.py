@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, remove_dir, running_sum, small_batches, table
+from .common import cut, fresh_dir, ranges, remove_dir, running_sum, small_batches, table
 
 END_ID = 2
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.rows.between.memory.checks": "500", "orc.compress": "ZSTD"}
@@ -92,7 +92,7 @@ class Encoder:
         size = np.diff(ends, prepend=0)
         before = np.concatenate([[0], np.cumsum(size[piece])])
         last = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-        return ids[_ranges((ends - size)[piece], size[piece])], np.diff(before[last], prepend=0).astype(np.int32)
+        return ids[ranges((ends - size)[piece], size[piece])], np.diff(before[last], prepend=0).astype(np.int32)
 
     def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without odd signs, one after the other, and how many each has."""
@@ -109,7 +109,7 @@ class Encoder:
             if len(self.words) + len(fresh) > self.REMEMBERED:
                 old = at[~new]
                 starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-                self.flat, self.words, self.sizes = self.flat[_ranges(starts[old], self.sizes[old])], words.filter(pa.array(~new)), self.sizes[old]
+                self.flat, self.words, self.sizes = self.flat[ranges(starts[old], self.sizes[old])], words.filter(pa.array(~new)), self.sizes[old]
                 at[~new] = np.arange(len(old))
             at[new] = np.arange(len(fresh)) + len(self.words)
             self.words, self.flat, self.sizes = pa.concat_arrays([self.words, fresh]), np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
@@ -117,7 +117,7 @@ class Encoder:
         sizes = self.sizes[at]
         n = sizes[index]
         before = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])  # an array's offsets are 32 bits, and so are its values' numbers
-        return self.flat[_ranges(starts[index].astype(np.int32), n)], np.diff(before[offsets])
+        return self.flat[ranges(starts[index].astype(np.int32), n)], np.diff(before[offsets])
 
     def __call__(self, texts: pa.Array, end: int | None) -> pa.ListArray:
         """The ids of each text, with `end` after them. No text is null."""
@@ -139,14 +139,6 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... for sizes[i] numbers, for each i."""
-    before = np.cumsum(sizes, dtype=np.int32)
-    out = np.arange(before[-1] if len(before) else 0, dtype=np.int32)
-    out += np.repeat((starts - (before - sizes)).astype(np.int32), sizes)
-    return out
-
-
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) -> DataFrame:
     """(doc_id, ids array<int>) for each row, by the tokenizer file at tokenizer_path (on the driver), with end_id after each."""
     with open(tokenizer_path, encoding="utf-8") as f:
