@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, mixing, quality, simhash, toxicity
-from textloom.llm.common import fresh_dir, table
+from textloom.llm.common import fresh_dir, remove_dir, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +43,21 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each stage's rows written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES applied to documents, each stage's rows written as Parquet in the shared folder and read again. A stage's folder goes when the next stage is written; the last one's rows stay, as they are the result.
+
+    Each stage keeps all columns of documents whatever their names, and works on rows: nulls in any column, empty texts, repeated rows and repeated or null doc_ids are judged row by row, as the
+    operators' modules say. An empty table gives no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        before = path
     return docs
 
 
-#: Toxicity, robust estimates and fingerprints are not expressible in SQL; tests/llm compares each stage with a brute-force version.
+#: Toxicity, robust estimates and fingerprints are not expressible in SQL; tests/llm compares the stages with brute-force versions on a small table.
 ORACLE_SQL = None
