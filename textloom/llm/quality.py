@@ -8,7 +8,7 @@ a wide prior, so that groups of any size are treated alike and a handful of rows
 chi-square is rejected.
 
 Everything is plain sums over groups: moments, and counts of values and distances in bins of fixed edges (one percent of a distance, a tenth of a part's least deviation), from which shares
-and quartiles are read. Sums are made by group and salt first, so that a group's rows never meet in one task.
+and quartiles are read. Moments are summed by group and salt first, so that a group's rows never meet in one task.
 
 Cases: null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own. Repeated rows count each for themselves;
 rows in the bin of a step's threshold are all taken in. A text of any length is counted whole, in one task. An empty table gives no rows. Extra columns are ignored by judge() and kept by passing().
@@ -26,7 +26,7 @@ from .common import BLANKS, cut, hashes_of, small, table
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATS = 50, 50
 #: The share of rows that an estimate rests on, the most concentration steps, and the fall of a log-determinant that counts as one.
-SHARE, STEPS, FALL = 0.75, 8, 1e-3
+SHARE, STEPS, FALL = 0.75, 5, 1e-2
 #: Rows at which a group's estimate weighs as much as that of the wider group.
 LEAN = 100
 #: Groups (about 250 bytes each) up to which estimates are sent to every executor.
@@ -124,6 +124,11 @@ def _distance(prefix: str = "") -> Column:
     return out
 
 
+def _counted(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n): rows by group and bin."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _summed(df: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
     """Sums by group, first by group and salt: whatever number of tasks hold a group's rows, few partial sums meet in one."""
     part = df.withColumn("_salt", F.spark_partition_id() % SALT).groupBy(*by, "_salt").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
@@ -158,7 +163,7 @@ def _reached(counted: DataFrame, by: list[str], shares: dict[str, float]) -> Dat
 def _quartiles(rows: DataFrame) -> DataFrame:
     """(grp, q0.., r0..): medians and quartile ranges as deviations of normal data, by bins of a tenth of the least deviation."""
     each = F.array(*[F.struct(F.lit(i).alias("part"), F.floor(F.col(n) / (PARTS[n] / 10)).alias("bin")) for i, n in enumerate(NAMES)])
-    counted = _summed(rows.select("grp", F.inline(each)), ["grp", "part", "bin"], {"n": F.lit(1)})
+    counted = _counted(rows.select("grp", F.inline(each)), ["grp", "part", "bin"])
     found = _reached(counted, ["grp", "part"], {"low": 0.25, "mid": 0.5, "high": 0.75})
     of = lambda i, x: F.max(F.when(F.col("part") == i, x))
     width = {i: PARTS[n] / 10 for i, n in enumerate(NAMES)}
@@ -174,18 +179,19 @@ def _bin(d2: Column) -> Column:
 
 
 def concentrated(rows: DataFrame) -> DataFrame:
-    """(grp, start, m0.., l00.., logdet): the estimate of each group of rows (grp not null, and NAMES), by the better of two starts."""
+    """(grp, size, start, m0.., l00.., logdet): the estimate of each group of rows (grp not null, and NAMES), by the better of two starts, and the group's rows."""
     means = [f"m{i}" for i in range(P)]
     factors = [f"l{i}{j}" for i, j in PAIRS]
     columns = ["grp", "start", *means, *factors, "logdet"]
-    whole = _factor(_moments(rows, ["grp"]), 1.0).select("grp", F.lit(0).alias("start"), *means, *factors, "logdet")
+    first = cut(_moments(rows, ["grp"]))
+    whole = _factor(first, 1.0).select("grp", F.lit(0).alias("start"), *means, *factors, "logdet")
     spread = lambda i: F.sqrt(F.pow(F.col(f"r{i}"), 2) + PARTS[NAMES[i]] ** 2)
     robust = _quartiles(rows).select("grp", F.lit(1).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in range(P)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS], F.lit(float("inf")).alias("logdet"))
     now = cut(whole.withColumn("logdet", F.lit(float("inf"))).unionByName(robust).select(*columns))
     both, by = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), ["grp", "start"]
     for _ in range(STEPS):
         known = small(now, FEW)
-        counted = _summed(both.join(known, by).select(*by, _bin(_distance()).alias("bin")), [*by, "bin"], {"n": F.lit(1)})
+        counted = _counted(both.join(known, by).select(*by, _bin(_distance()).alias("bin")), [*by, "bin"])
         edged = cut(now.join(_reached(counted, by, {"edge": SHARE}), by))
         near = both.join(small(edged, FEW), by).where(_bin(_distance()) <= F.col("edge")).select(*by, *NAMES)
         new = cut(_factor(_moments(near, by), scale(SHARE)).select(*columns))
@@ -195,16 +201,17 @@ def concentrated(rows: DataFrame) -> DataFrame:
         if not fell:
             break
     best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
-    return cut(best.join(now, by))
+    return cut(best.join(now, by).join(first.select("grp", F.col("n").alias("size")), "grp"))
 
 
 def mcd(rows: DataFrame) -> DataFrame:
     """(grp, n, m0.., c00..): the minimum-covariance-determinant estimate of each group of rows (grp not null, and NAMES), re-weighted, and the group's rows."""
-    best = concentrated(rows).drop("start", "logdet")
+    found = concentrated(rows)
+    best = found.drop("start", "logdet", "size")
     q = chi2_quantile(0.975, P)
     near = rows.join(small(best, FEW), "grp").where(_distance() <= q).select("grp", *NAMES)
     times = 0.975 / chi2_cdf(q, P + 2)
-    g = _moments(near, ["grp"]).drop("n").join(_summed(rows, ["grp"], {"n": F.lit(1)}), "grp")
+    g = _moments(near, ["grp"]).drop("n").join(found.select("grp", F.col("size").alias("n")), "grp")
     return g.select("grp", "n", *[f"m{i}" for i in range(P)], *[(F.col(f"c{i}{j}") * times).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
