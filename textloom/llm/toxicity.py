@@ -43,7 +43,7 @@ SIGN, REPEAT, SEPARATOR, LETTER, OTHER = 1.0, 0.5, 0.3, 9.0, 3.0
 SEPARATORS = " .-_*~"
 CLASSES = 28  # 0: a boundary, 1 to 26: a to z, 27: any other letter
 PLAIN = re.compile(r"[^\W\d_]+")
-TWICE, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+TWICE, THRICE, LETTERS = re.compile(r"(.)\1"), re.compile(r"(.)\1\1"), re.compile(r"(.)\1+")
 RUN = re.compile(r"(.)\1*", re.DOTALL)
 #: A letter or a sign for one; spans of them may follow an opening sign and end before any punctuation.
 _UNIT = rf"(?:[^\W_]|[{re.escape(''.join(LEET))}])"
@@ -161,10 +161,26 @@ class Reader:
         self.restorer, self.vocabulary = restorer, vocabulary
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        #: What features come to when each run of a letter is one letter: decoding doubled letters changes a word, but not that.
+        known = vocabulary or {}
+        self.bare = {LETTERS.sub(r"\1", x) for x in known if not x.endswith("^")}
+        self.stems = {LETTERS.sub(r"\1", x[:-1]) for x in known if x.endswith("^")}
+
+    def _hopeless(self, core: str) -> bool:
+        """Whether no form of a word of letters, with runs of letters shortened or not, has a feature of the vocabulary."""
+        bare = LETTERS.sub(r"\1", core)
+        return bare not in self.bare and not any(bare[:n] in self.stems for n in range(1, STEMS[-1] + 1))
 
     def _features(self, word: str) -> tuple:
-        found = {x for w in self.restorer.forms(word) for x in (w, *(f"{w[:n]}^" for n in STEMS if len(w) > n))}
-        return tuple(found) if self.vocabulary is None else tuple(self.vocabulary[x] for x in found if x in self.vocabulary)
+        core, known = word.strip(SHED), self.vocabulary
+        if core.isalpha() and TWICE.search(core) is None:
+            forms: object = (core,)  # a plain word
+        elif known is not None and core.isalpha() and self._hopeless(core):
+            return ()
+        else:
+            forms = self.restorer.forms(word)
+        found = {x for w in forms for x in (w, *(f"{w[:n]}^" for n in STEMS if len(w) > n))}
+        return tuple(found) if known is None else tuple(known[x] for x in found if x in known)
 
     def __call__(self, text: str) -> set:
         text = text.lower()
