@@ -188,12 +188,12 @@ def concentrated(rows: DataFrame) -> DataFrame:
     spread = lambda i: F.sqrt(F.pow(F.col(f"r{i}"), 2) + PARTS[NAMES[i]] ** 2)
     robust = _quartiles(rows).select("grp", F.lit(1).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in range(P)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS], F.lit(float("inf")).alias("logdet"))
     now = cut(whole.withColumn("logdet", F.lit(float("inf"))).unionByName(robust).select(*columns))
+    sent = F.broadcast if first.limit(FEW + 1).count() <= FEW else (lambda df: df)  # all steps have the same groups
     both, by = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), ["grp", "start"]
     for _ in range(STEPS):
-        known = small(now, FEW)
-        counted = _counted(both.join(known, by).select(*by, _bin(_distance()).alias("bin")), [*by, "bin"])
+        counted = _counted(both.join(sent(now), by).select(*by, _bin(_distance()).alias("bin")), [*by, "bin"])
         edged = cut(now.join(_reached(counted, by, {"edge": SHARE}), by))
-        near = both.join(small(edged, FEW), by).where(_bin(_distance()) <= F.col("edge")).select(*by, *NAMES)
+        near = both.join(sent(edged), by).where(_bin(_distance()) <= F.col("edge")).select(*by, *NAMES)
         new = cut(_factor(_moments(near, by), scale(SHARE)).select(*columns))
         # Only a count comes to the driver.
         fell = new.alias("x").join(now.alias("y"), by).where(F.col("x.logdet") < F.col("y.logdet") - FALL).limit(1).count()
