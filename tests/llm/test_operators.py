@@ -602,17 +602,59 @@ def test_megabytes_in_a_text(spark, tmp_path):
     assert {r.payload_bytes for r in warc.read(spark, f"file://{tmp_path}/w").collect()} == {len(text), 5}
 
 
+def brute_keep_first(rows):
+    """Of rows (doc_id, text) the doc_ids that stay: the smallest of each group of fingerprints linked at 4 bits."""
+    fps = {i: brute_simhash(t) for i, t in rows}
+    group = {i: i for i in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            if a < b and bin(fps[a] ^ fps[b]).count("1") <= 4 and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+    return {i for i in fps if group[i] == i}
+
+
 def test_pipeline(spark, sf):
+    """Each stage against a version by brute force on what the one before it kept."""
     import corpus_pipeline
+    import tiktoken
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    sizes = [docs.count()]
+    columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = common.cut(stage(spark, docs, sf))
-        sizes.append(docs.count())
+        before, docs = docs, common.cut(stage(spark, docs, sf))
+        kept[name] = docs
         assert name == "tokens" or docs.columns == columns
-    assert 0 < sizes[-1] == sizes[-2] and sizes[3] < sizes[2] < sizes[1] <= sizes[0]
+        rows, after = before.collect(), docs.collect()
+        ids = sorted(r.doc_id for r in after)
+        if name == "toxicity":
+            scores = toxicity.query(spark, sf).collect()
+            assert ids == sorted(r.doc_id for r in scores if not r.predicted)
+        elif name == "quality":
+            good = {r.doc_id for r in quality.judge(before).collect() if r.kept}
+            base = set()
+            for r in rows:
+                w = words_of(r.text)
+                tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+                often = {x for x in set(tri) if tri.count(x) > 1}
+                covered = {i + k for i, x in enumerate(tri) if x in often for k in range(3)}
+                if len(w) >= 50 and 100 * len(covered) <= 50 * len(w):
+                    base.add(r.doc_id)
+            assert set(ids) == good <= base and len(good) > 0.7 * len(base)
+        elif name == "near_duplicates":
+            assert set(ids) == brute_keep_first([(r.doc_id, r.text) for r in rows]) and len(ids) == len(set(ids)) < len(rows)
+        elif name == "mixture":
+            con = duckdb.connect()
+            con.register("frame", before.toPandas())
+            con.execute("create table documents as select * from frame")
+            times = con.execute(f"with m as ({sql.MIXTURE}) select doc_id, round(target)::bigint // source_size + case when 2 * (taken - (round(target)::bigint // source_size) * size) >= size then 1 else 0 end from m").fetchall()
+            assert ids == sorted(i for i, n in times for _ in range(n))
+            texts = {r.doc_id: r.text for r in rows}
+            assert all(r.text == texts[r.doc_id] for r in after)
+        else:
+            own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}, special_tokens={})
+            assert sorted((r.doc_id, r.n_tokens) for r in after) == sorted((r.doc_id, len(own.encode_ordinary(r.text))) for r in rows)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, kept["tokens"].collect()))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

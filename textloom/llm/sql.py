@@ -76,18 +76,20 @@ _ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEM
 
 #: Licences by brute force: every window of every text against every template.
 LICENCES = f"""
-with t as (
-    select name, unnest(range(0, len(w) - {SHINGLE - 1})) as i, w from (select name, {_WORDS} as w from (values {_ROWS}) v(name, text))
+with w as (
+    select name, {_WORDS} as w from (values {_ROWS}) v(name, text)
+), t as (
+    select name, least({SHINGLE}, len(w)) as n, unnest(range(0, len(w) - least({SHINGLE}, len(w)) + 1)) as i, w from w
 ), ts as (
-    select distinct name, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as s from t
+    select distinct name, n, array_to_string(w[i + 1:i + n], ' ') as s from t
 ), sizes as (
     select name, count(*) as m, pow(2, ceil(log2(greatest(count(*), 2))))::bigint as width from ts group by name
 ), d as (
     select doc_id, {_WORDS} as w from documents
 ), ds as (
-    select doc_id, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as s from (select doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) as i from d where len(w) >= {SHINGLE})
+    select doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') as s from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i from d, (select distinct n from ts) where len(w) >= n)
 ), hits as (
-    select ds.doc_id, ts.name, ts.s, m, unnest([i // width * width, i // width * width - width]) as start from ds join ts using (s) join sizes using (name)
+    select ds.doc_id, ts.name, ts.s, m, unnest([i // width * width, i // width * width - width]) as start from ds join ts on ds.s = ts.s and ds.n = ts.n join sizes using (name)
 ), windows as (
     select doc_id, name, start, count(distinct s) / m::double as containment from hits where start >= 0 group by doc_id, name, start, m
 )
