@@ -16,6 +16,11 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, SENTENCE_END), lex.ustrip), lambda x: F.length(x) > 0)
 
 
+def first_sentence(c: Column) -> Column:
+    """The first of the sentences of a stripped text, without splitting the rest; null where there is none."""
+    return F.nullif(lex.ustrip(F.get(F.split(c, SENTENCE_END, 2), F.lit(0))), F.lit(""))
+
+
 def raw_paragraphs(c: Column) -> Column:
     return F.transform(F.split(c, PARAGRAPH_END), lex.ustrip)
 
@@ -32,8 +37,9 @@ def paragraphs(c: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, title, pos, line, start): every line of cleaned, with its offset; one partitioning by doc_id serves all that follows."""
-    exploded = docs.select("doc_id", "title", F.posexplode(F.split("cleaned", lex.LINE_END)).alias("pos", "line"))
+    """(doc_id, title, pos, line, start, whole): every line of cleaned, with its offset, and cleaned itself beside its first line; one partitioning by doc_id serves all that follows."""
+    exploded = docs.select("doc_id", "title", "cleaned", F.posexplode(F.split("cleaned", lex.LINE_END)).alias("pos", "line"))
+    exploded = exploded.select("doc_id", "title", "pos", "line", F.when(F.col("pos") == 0, F.col("cleaned")).alias("whole"))
     before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     return exploded.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
 
@@ -42,11 +48,12 @@ def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section_id, title, text, start, end, paragraphs) of docs (doc_id, title, cleaned).
 
     A heading opens a section; bodies under headings without content go, and lines of boilerplate. A text without a section is one by itself. Sections
-    whose text has no content go too, unless that would leave none. Nothing is left of texts without a useful paragraph.
+    whose text has no content go too, unless that would leave none. Nothing is left of texts without a useful paragraph. Texts are read and cleaned once: all joins of lines,
+    sections and texts are windows over doc_id.
     """
     marked = lines(docs).withColumn("stripped", lex.ustrip(F.col("line"))).withColumn("heading", gates.is_heading(F.col("stripped")))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    marked = marked.withColumn("section_id", F.sum(F.col("heading").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    by_doc = Window.partitionBy("doc_id")
+    marked = marked.withColumn("section_id", F.sum(F.col("heading").cast("int")).over(by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     named = lex.ustrip(F.ltrim("stripped", F.lit("#")))
     body = F.when(~F.col("heading") & ~gates.is_boilerplate(F.col("stripped")), F.struct("pos", "line"))
     grouped = marked.groupBy("doc_id", "section_id").agg(
@@ -54,19 +61,22 @@ def sections(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("heading"), named)).alias("named"),
         F.min(F.when(F.col("heading"), F.col("start") + F.length("line") + 1)).alias("after"),
         F.min("start").alias("first"),
+        F.max(F.col("start") + F.length("line")).alias("last"),
+        F.max("whole").alias("whole"),
         F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), "\n").alias("body"),
     )
-    ends = F.lead("first").over(Window.partitionBy("doc_id").orderBy("section_id"))
-    found = grouped.withColumns({"next": ends, "title": F.coalesce("named", "doc_title"), "start": F.coalesce("after", F.lit(0)), "paragraphs": paragraphs(lex.ustrip(F.col("body")))})
-    found = found.where((F.size("paragraphs") > 0) & ~F.coalesce(gates.is_bad_heading(F.col("named")), F.lit(False)))
-    whole = docs.select("doc_id", F.length("cleaned").alias("chars"), "title", "cleaned")
-    found = found.select("doc_id", "section_id", "title", "start", "next", "paragraphs").join(whole.select("doc_id", "chars"), "doc_id").withColumn("end", F.coalesce("next", "chars")).drop("next", "chars")
-    # Texts without a section: their useful paragraphs, all together.
-    rest = whole.join(found.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("paragraphs", paragraphs(F.col("cleaned")))
-    rest = rest.where(F.size("paragraphs") > 0).select("doc_id", F.lit(0).cast("long").alias("section_id"), "title", F.lit(0).alias("start"), "paragraphs", F.col("chars").alias("end"))
-    every = found.unionByName(rest).withColumn("text", F.array_join("paragraphs", "\n\n"))
+    grouped = grouped.withColumn("own", paragraphs(lex.ustrip(F.col("body")))).withColumn("found", (F.size("own") > 0) & ~F.coalesce(gates.is_bad_heading(F.col("named")), F.lit(False)))
+    ends = F.lead("first").over(by_doc.orderBy("section_id"))
+    grouped = grouped.withColumns({"next": ends, "chars": F.max("last").over(by_doc), "some": F.max("found").over(by_doc)})
+    # Texts without a section: their useful paragraphs, all together, on the row that has the text.
+    rest = ~F.col("some")
+    every = grouped.where(F.col("found") | (rest & F.col("whole").isNotNull())).select(
+        "doc_id", F.when(rest, F.lit(0)).otherwise(F.col("section_id")).cast("int").alias("section_id"), F.when(rest, F.col("doc_title")).otherwise(F.coalesce("named", "doc_title")).alias("title"),
+        F.when(rest, F.lit(0)).otherwise(F.coalesce("after", F.lit(0))).alias("start"), F.when(rest, F.col("chars")).otherwise(F.coalesce("next", "chars")).alias("end"),
+        F.when(rest, paragraphs(F.col("whole"))).otherwise(F.col("own")).alias("paragraphs"),
+    )
+    every = every.withColumn("text", F.array_join("paragraphs", "\n\n"))
     judged = gates.measured(every, "text")
     bad = gates.is_bad_heading(F.col("title"))
-    judged = judged.withColumn("kept", ~bad & ~gates.is_non_content(F.col("m"), bad))
-    any_kept = F.max("kept").over(Window.partitionBy("doc_id"))
-    return judged.withColumn("any", any_kept).where(F.col("kept") | ~F.col("any")).select("doc_id", F.col("section_id").cast("int").alias("section_id"), "title", "text", "start", "end", "paragraphs")
+    judged = judged.withColumn("kept", ~bad & ~gates.is_non_content(F.col("m"), bad)).where(F.size("paragraphs") > 0)
+    return judged.withColumn("any", F.max("kept").over(by_doc)).where(F.col("kept") | ~F.col("any")).select("doc_id", "section_id", "title", "text", "start", "end", "paragraphs")

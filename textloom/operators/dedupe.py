@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gates, lex
+from .prefix import kept, running_sum
 
 NEAR_TOKENS, STEM_TOKENS, STEM_CHARS = 12, 5, 48
 #: From so many accepted rows on, a stem that was taken twice may not pass this share.
@@ -22,42 +22,44 @@ def normalized(c: Column) -> Column:
     return F.btrim(F.regexp_replace(folded, r"(?U)\s+", " "), F.lit(lex.EDGES))
 
 
-def tokens(c: Column) -> Column:
-    """ASCII tokens of two signs or more that are no stopwords."""
+def _tokens(normal: Column) -> Column:
+    """ASCII tokens of two signs or more that are no stopwords, of a normalized text."""
     stop = F.array(*map(F.lit, lex.STOPWORDS))
-    return F.filter(F.regexp_extract_all(normalized(c), F.lit(lex.TOKEN), 0), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(normal, F.lit(lex.TOKEN), 0), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
-def exact_key(c: Column) -> Column:
-    return F.sha1(normalized(c).cast("binary"))
+def _near(own: Column) -> Column:
+    return F.sha1(F.array_join(F.slice(F.array_sort(F.array_distinct(own)), 1, NEAR_TOKENS), " ").cast("binary"))
 
 
 def near_key(c: Column) -> Column:
-    """The same for instructions whose first distinct tokens, sorted, are the same."""
-    return F.sha1(F.array_join(F.slice(F.array_sort(F.array_distinct(tokens(c))), 1, NEAR_TOKENS), " ").cast("binary"))
-
-
-def stem_key(c: Column) -> Column:
-    """How an instruction opens."""
-    own = tokens(c)
-    return F.when(F.size(own) > 0, F.array_join(F.slice(own, 1, STEM_TOKENS), " ")).otherwise(F.substring(normalized(c), 1, STEM_CHARS))
+    """with_keys()'s near_key of one text as an expression."""
+    return _near(_tokens(normalized(c)))
 
 
 def with_keys(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns({"exact_key": exact_key(F.col(text)), "near_key": near_key(F.col(text)), "stem_key": stem_key(F.col(text))})
+    """df with exact_key (of the normalized text), near_key (the same where the first distinct tokens, sorted, are the same) and stem_key (how the text opens).
+
+    A row's number beside what is made once, the normalized text and then its tokens, keeps each from being made anew for every key.
+    """
+    made = df.withColumn("_n", F.struct(normalized(F.col(text)).alias("n"), F.monotonically_increasing_id().alias("row")))
+    made = made.withColumn("_t", F.struct(_tokens(F.col("_n.n")).alias("t"), F.monotonically_increasing_id().alias("row")))
+    normal, own = F.col("_n.n"), F.col("_t.t")
+    keys = {
+        "exact_key": F.sha1(normal.cast("binary")),
+        "near_key": _near(own),
+        "stem_key": F.when(F.size(own) > 0, F.array_join(F.slice(own, 1, STEM_TOKENS), " ")).otherwise(F.substring(normal, 1, STEM_CHARS)),
+    }
+    return made.withColumns(keys).drop("_n", "_t")
 
 
 def first_of_near(df: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """The first row of each near key: the batch form, without a cap on stems.
+    """The first row of each near key, by the columns `order`: the batch form, without a cap on stems. Of rows equal in all of these one stays.
 
     The least of each key is pre-aggregated before the shuffle, so that a frequent key does not gather its rows in one task.
     """
-    keyed = df.withColumn("near_key", near_key(F.col(text)))
-    first = keyed.groupBy("near_key").agg(F.min(F.struct(*order)).alias("_first"))
-    same = F.lit(True)
-    for c in order:
-        same &= F.col(c).eqNullSafe(F.col(f"_first.{c}"))
-    return keyed.join(first, "near_key").where(same).drop("_first")
+    first = with_keys(df, text).groupBy("near_key").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*", "near_key")
 
 
 class Claims:
@@ -71,9 +73,10 @@ class Claims:
         self.near, self.stems, self.accepted = near or set(), {}, 0
         self.share, self.start = min(1.0, max(0.05, share)), max(1, start)
 
-    def claim(self, near: str, stem: str, cites: bool) -> bool:
-        digest, taken = bytes.fromhex(near), self.stems.get(stem, 0)
-        crowded = self.accepted >= self.start and taken >= STEM_TWICE and (taken + 1) / (self.accepted + 1) > self.share
+    def claim(self, near: str, stem: str, cites: bool, others: int = 0) -> bool:
+        """others: rows accepted so far that do not go through this object."""
+        digest, taken, accepted = bytes.fromhex(near), self.stems.get(stem, 0), self.accepted + others
+        crowded = accepted >= self.start and taken >= STEM_TWICE and (taken + 1) / (accepted + 1) > self.share
         if cites or digest in self.near or crowded:
             return False
         self.near.add(digest)
@@ -83,31 +86,28 @@ class Claims:
 
 
 def claimed(df: DataFrame, text: str, order: list[str], share: float = STEM_SHARE, start: int = STEM_FROM) -> DataFrame:
-    """df with accepted (boolean), by claims in the order of the columns `order`.
+    """df with its keys and accepted (boolean), by claims in the order of the columns `order`, then of the keys; every row of df is there once.
 
-    Each claim depends on all before it, so one task streams over the sorted rows; it gets three short columns of a row and holds digests only. All that can be decided
-    without order is decided before: rows that cite their source, and all but the first row of each near key whose earlier rows can only be stopped by the
-    cap, still take part, because a row that the cap stops leaves its key open.
+    A claim depends on those before it, but only where it may fail: a row whose near key is its own, and whose stem occurs no more often than any share allows, is accepted whatever comes before it. Such
+    rows are counted by a running sum and pass; only the others are claimed one by one in a task, each with the number of rows accepted without it by then. Rows that cite their source fail at once.
     """
     keyed = with_keys(df, text).withColumn("_cites", gates.cites_context(F.col(text)))
-    slim = keyed.where(~F.col("_cites")).select(*order, "near_key", "stem_key").repartition(1).sortWithinPartitions(*order)
+    # Rows are known by a number of their own: equal or null values of the order must not meet each other's verdicts.
+    keyed = kept(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    slim = keyed.where(~F.col("_cites")).select(*order, "near_key", "stem_key", "_row")
+    many = lambda key, most, name: slim.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key, F.lit(True).alias(name))
+    marked = slim.join(many("near_key", 1, "_near"), "near_key", "left").join(many("stem_key", STEM_TWICE, "_stem"), "stem_key", "left")
+    marked = marked.withColumn("_free", (F.coalesce("_near", "_stem").isNull()).cast("int"))
+    ranked = kept(running_sum(marked.drop("_near", "_stem"), [*order, "near_key", "stem_key", "_row"], "_free", "_before"))
+    open_rows = ranked.where("_free = 0").select("_row", "near_key", "stem_key", "_before", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claims = Claims(share=share, start=start)
         for b in batches:
-            near, stem = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("near_key", "stem_key"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([claims.claim(n, s, False) for n, s in zip(near, stem, strict=True)])], [*b.schema.names, "accepted"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes) + ", accepted boolean"
-    made = slim.mapInArrow(run, schema).drop("near_key", "stem_key")
-    return keyed.join(made, order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("_cites")
-
-
-def sha1_hex(text: str) -> str:
-    return hashlib.sha1(text.encode()).hexdigest()
-
+            row, near, stem, before = (b.column(b.schema.get_field_index(n)) for n in ("_row", "near_key", "stem_key", "_before"))
+            made = [claims.claim(n, s, False, k) for n, s, k in zip(near.to_pylist(), stem.to_pylist(), before.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(made, pa.bool_())], ["_row", "accepted"])
 
-def neighbours(df: DataFrame, key: str, order: str, column: str) -> DataFrame:
-    """df with the values before and after within a key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("before", F.lag(column).over(w)).withColumn("after", F.lead(column).over(w))
+    made = open_rows.repartition(1).sortWithinPartitions(*[x for c in order for x in (F.col(c).isNull(), F.col(c))], "near_key", "stem_key", "_row").mapInArrow(run, "_row long, accepted boolean")
+    verdicts = ranked.where("_free = 1").select("_row", F.lit(True).alias("accepted")).unionByName(made)
+    return keyed.join(verdicts, "_row", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("_cites", "_row")
