@@ -131,16 +131,17 @@ def cleaned(df: DataFrame, text: str, out: str = "cleaned") -> DataFrame:
     return hard.withColumn(out, F.when(F.col("_hard"), clean_udf(F.when(F.col("_hard"), c))).otherwise(squeezed(c))).drop("_hard")
 
 
-def drop_pages(df: DataFrame, text: str, key: str) -> DataFrame:
-    """df without the pages of a text with page breaks that the gates find without content; rows are told apart by key."""
+def drop_pages(df: DataFrame, text: str) -> DataFrame:
+    """df without the pages of a text with page breaks that the gates find without content. Each row's pages stay its own, whatever other rows are called; a text without a page left is empty."""
     from . import gates
 
-    paged = df.where(F.col(text).contains("\f"))
-    pages = paged.select(F.col(key).alias("_key"), F.posexplode(F.split(text, "\f")).alias("_n", "_page"))
-    kept = gates.measured(pages, "_page").where(~gates.is_non_content(F.col("m")))
-    joined = kept.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_page"))), lambda x: x["_page"]), "\f").alias("_kept"))
-    out = paged.join(joined, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(text, F.coalesce("_kept", F.lit(""))).drop("_key", "_kept")
-    return df.where(~F.col(text).contains("\f")).unionByName(out)
+    others = [c for c in df.columns if c != text]
+    paged = df.where(F.col(text).contains("\f")).select(F.struct(*others).alias("row"), F.monotonically_increasing_id().alias("number"), text)
+    paged = paged.select("row", "number", F.posexplode(F.split(text, "\f")).alias("n", "page"))  # apart, as rows are numbered before they fall into pages
+    judged = gates.measured(paged, "page").withColumn("good", F.when(~gates.is_non_content(F.col("m")), F.struct("n", "page")))
+    joined = judged.groupBy("number").agg(F.first("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list("good")), lambda x: x["page"]), "\f").alias("kept"))
+    out = joined.select("row.*", F.col("kept").alias(text)).select(df.columns)
+    return df.where(~F.coalesce(F.col(text).contains("\f"), F.lit(False))).unionByName(out)
 
 
 def slug(c: Column) -> Column:

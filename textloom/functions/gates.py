@@ -110,9 +110,9 @@ def containment_failure(instruction: Column, output: Column) -> Column:
     # A subject that is named after all is taken out first, as a pattern without look-ahead cannot tell.
     named = F.regexp_replace(F.concat(i, F.lit("\n"), o), lex.VAGUE + lex.NAMED_AFTER, " ")
     return (
-        F.when((F.length(i) == 0) | (F.length(o) == 0), "Empty instruction or output")
-        .when(cites_context(i) | o.rlike(lex.CITES_CONTEXT), "Pair depends on unseen source provenance")
-        .when(named.rlike(lex.VAGUE), "Pair uses an underspecified subject instead of a named one")
+        F.when((F.length(i) == 0) | (F.length(o) == 0), "the instruction or the output is empty")
+        .when(cites_context(i) | o.rlike(lex.CITES_CONTEXT), "the pair points at a source that a reader does not see")
+        .when(named.rlike(lex.VAGUE), "the pair has a subject without a name")
     )
 
 

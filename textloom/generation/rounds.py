@@ -1,4 +1,4 @@
-"""Generation as bounded rounds: each round asks for all open work at once, gates the drafts, claims them in order, and gives what failed another chunk.
+"""Generation as bounded rounds: each round asks for all open work at once, gates the drafts, claims them in order, and has what failed written anew, from the same chunk a few times, then from another.
 
 A round's claims follow its work indexes, so results do not depend on partitions or on the speed of answers.
 """
@@ -18,7 +18,9 @@ from ..operators import dedupe, references
 from ..operators.prefix import kept
 from .backend import Backend, Stub, ask, calls
 
-ROUNDS = 5
+#: Chunks that are tried for a row; drafts of a row from one chunk, and fewer where it repeats another.
+TRIES, REWRITES, REPEATED_REWRITES = 5, 3, 2
+REPEATED = "the pair repeats an earlier one, or opens as too many do"
 DRAFT = [("instruction", pa.string()), ("output", pa.string()), ("standalone", pa.bool_()), ("grounded", pa.bool_()), ("model", pa.string()), ("error", pa.string())]
 BUILTIN = {
     "line-analyst": ("line", "Reads short spans closely and asks for one atomic fact."),
@@ -61,7 +63,8 @@ def merged_personas(made: list[Persona]) -> list[Persona]:
 
 
 def prompt_of(row: dict) -> str:
-    return f"Persona: {row['persona']}\nTask: {row['task_focus']}\nWrite one instruction and its output as JSON with the keys instruction, output and standalone.\nCONTEXT:\n{row['text']}"
+    again = f"\nDraft {row['attempt'] + 1}: the last one was rejected ({row['told']}). Write another." if row.get("told") else ""
+    return f"Persona: {row['persona']}\nTask: {row['task_focus']}\nWrite one instruction and its output as JSON with the keys instruction, output and standalone.{again}\nCONTEXT:\n{row['text']}"
 
 
 def _draft(backend: Backend, row: dict, ground: bool) -> dict:
@@ -101,19 +104,37 @@ class Outcome:
     counts: dict = field(default_factory=dict)
 
 
-def generate(work: DataFrame, chunks: DataFrame, make: Callable[[], Backend] = Stub, ground: bool = False, rounds: int = ROUNDS, at_once: int | None = None) -> Outcome:
-    """Records for work (doc_id, index, persona, pool_index, task_focus) from chunks (doc_id, persona, pool_index, section_path, level, method, text, start, end).
+def _texts(work: DataFrame, chunks: DataFrame) -> DataFrame:
+    """work with the chunk that each row is written from: its own where the work brings one (made from an anchor), else that of its pool."""
+    met = work.drop("start", "end").join(chunks, ["doc_id", "persona", "pool_index"])
+    own = F.col("own_text").isNotNull()
+    method = F.when(F.col("own_text") == F.col("own_target"), "paragraph-anchor").otherwise("line-from-anchor")
+    return met.withColumns({
+        "text": F.when(own, F.col("own_text")).otherwise(F.col("text")), "target_text": F.when(own, F.col("own_target")).otherwise(F.col("target_text")), "method": F.when(own, method).otherwise(F.col("method")),
+        "start": F.when(own, F.col("own_start")).otherwise(F.col("start")), "end": F.when(own, F.col("own_end")).otherwise(F.col("end")),
+    })
 
-    A row that fails moves on to the next chunk of its pool, `rounds` times at most. Cheap gates come before claims, claims before nothing else: a claim is never given back.
+
+def generate(work: DataFrame, chunks: DataFrame, make: Callable[[], Backend] = Stub, ground: bool = False, tries: int = TRIES, rewrites: int = REWRITES, at_once: int | None = None) -> Outcome:
+    """Records for work (doc_id, index, persona, pool_index, task_focus, and start, end, own_text, own_target where a chunk was made from an anchor) from chunks (doc_id, persona, pool_index, section_path,
+    level, method, text, target_text, start, end).
+
+    A row whose draft fails is written anew from the same chunk, `rewrites` times at most (REPEATED_REWRITES if it repeats another), told why; then it moves on to the next chunk of its pool, `tries` chunks
+    at most. Cheap gates come before claims, claims before nothing else: a claim is never given back.
     """
     sizes = chunks.groupBy("doc_id", "persona").agg(F.count(F.lit(1)).alias("_size"))
     order = ["round", "doc_id", "index"]
-    open_work = kept(work.join(sizes, ["doc_id", "persona"]).withColumn("round", F.lit(0)).withColumn("pool_index", F.coalesce("pool_index", F.lit(0))))
-    accepted = rejected = None
+    none = F.lit(None).cast("string")
+    for c in ("own_text", "own_target"):
+        work = work if c in work.columns else work.withColumn(c, none)
+    for c in ("start", "end"):
+        work = work if c in work.columns else work.withColumn(c, F.lit(None).cast("int"))
+    work = work.withColumns({"own_start": F.col("start"), "own_end": F.col("end"), "round": F.lit(0), "tried": F.lit(1), "attempt": F.lit(0), "told": none, "pool_index": F.coalesce("pool_index", F.lit(0))})
+    open_work = kept(work.join(sizes, ["doc_id", "persona"]))
+    accepted, failed = None, None
     done = 0
-    for k in range(rounds):
-        done = k + 1
-        drafts = drafted(open_work.drop("start", "end").join(chunks, ["doc_id", "persona", "pool_index"]), make, ground, at_once)
+    while True:
+        drafts = drafted(_texts(open_work, chunks), make, ground, at_once)
         reason = F.coalesce(
             "error", gates.containment_failure(F.col("instruction"), F.col("output")), F.when(~gates.valid_pair(F.col("instruction"), F.col("output"), F.col("standalone")), "Pair is too short or not standalone"),
             F.when(F.col("grounded") == False, "Pair failed grounding"),  # noqa: E712
@@ -124,19 +145,39 @@ def generate(work: DataFrame, chunks: DataFrame, make: Callable[[], Backend] = S
         pool = fresh if accepted is None else accepted.unionByName(fresh)
         claimed = kept(dedupe.claimed(pool, "instruction", order).drop("exact_key", "near_key", "stem_key"))
         accepted = claimed.where("accepted").drop("accepted")
-        lost = claimed.where(~F.col("accepted") & (F.col("round") == k)).drop("accepted").withColumn("reason", F.lit("Duplicate, near-duplicate, or overused instruction stem rejected"))
+        lost = claimed.where(~F.col("accepted") & (F.col("round") == done)).drop("accepted").withColumn("reason", F.lit(REPEATED))
         rejected = kept(judged.where("reason is not null").unionByName(lost))
-        if rejected.isEmpty() or done == rounds:
+        done += 1
+        most = F.when(F.col("reason") == REPEATED, min(rewrites, REPEATED_REWRITES)).otherwise(rewrites)
+        same = F.col("attempt") + 1 < most
+        over = ~same & (F.col("tried") >= F.least(F.lit(tries), F.col("_size")))
+        lasting = rejected.where(over).select("doc_id", "persona", "index", "reason")
+        failed = lasting if failed is None else failed.unionByName(lasting)
+        again = rejected.where(~over)
+        if again.isEmpty():
             break
-        again = rejected.select(*[c for c in open_work.columns if c in rejected.columns])
-        open_work = kept(again.withColumn("pool_index", ((F.col("pool_index") + 1) % F.col("_size")).cast("int")).withColumn("round", F.lit(done)))
-    return Outcome(accepted.drop("error", "_size"), rejected.select("doc_id", "persona", "index", F.lit("GenerationError").alias("error"), F.col("reason").alias("message")), done)
-
-
-def with_references(records: DataFrame, make: Callable[[], Backend], text: str = "text") -> DataFrame:
-    """records with output_with_references. Only records that cite something are sent to the resolver."""
+        # A row that moves on leaves the chunk that was made for it.
+        moved = {
+            "pool_index": F.when(same, F.col("pool_index")).when(F.col("own_text").isNotNull(), F.col("pool_index")).otherwise((F.col("pool_index") + 1) % F.col("_size")).cast("int"),
+            "tried": F.when(same, F.col("tried")).otherwise(F.col("tried") + 1), "attempt": F.when(same, F.col("attempt") + 1).otherwise(F.lit(0)), "told": F.when(same, F.col("reason")),
+            "own_text": F.when(same, F.col("own_text")), "own_target": F.when(same, F.col("own_target")), "round": F.lit(done),
+        }
+        open_work = kept(again.withColumns(moved).select(open_work.columns))
+    records = accepted.drop("error", "_size", "own_text", "own_target", "own_start", "own_end", "told")
+    return Outcome(records, failed.select("doc_id", "persona", "index", F.lit("GenerationError").alias("error"), F.col("reason").alias("message")), done)
+
+
+def with_references(records: DataFrame, make: Callable[[], Backend], text: str = "text", documents: DataFrame | None = None) -> DataFrame:
+    """records with output_with_references. Only records that cite something are sent to the resolver.
+
+    It reads the record's own passage and, where documents (doc_id, cleaned, sections: array<struct<title, text>>) are given, those of its document, within a limit. A finding counts if it is found
+    and has a statement or an excerpt.
+    """
     cited = records.withColumn("_mentions", references.mentions(F.concat_ws("\n", "instruction", "output")))
-    ask_for = cited.where(F.size("_mentions") > 0)
+    ask_for = cited.where(F.size("_mentions") > 0).withColumn("_context", F.col(text))
+    if documents is not None:
+        known = documents.select(F.col("doc_id").alias("_id"), F.col("cleaned").alias("_cleaned"), F.col("sections").alias("_sections"))
+        ask_for = ask_for.join(known, ask_for["doc_id"] == F.col("_id"), "left").withColumn("_context", F.coalesce(references.lookup_context(F.col(text), F.col("_sections"), F.col("_cleaned")), F.col(text))).drop("_id", "_cleaned", "_sections")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = make()
@@ -146,14 +187,16 @@ def with_references(records: DataFrame, make: Callable[[], Backend], text: str =
                 found = []
                 for m in row["_mentions"]:
                     try:
-                        got = ask(backend, "You resolve citations.", f"{m['reference']}\nCONTEXT:\n{row[text]}")
+                        got = ask(backend, "You resolve citations.", f"{m['reference']}\nCONTEXT:\n{row['_context']}")
                     except Exception:
                         got = {}
-                    found.append({"reference": m["reference"], "statement": got.get("statement"), "excerpt": got.get("excerpt"), "matched": bool(got.get("found"))})
+                    got = got if isinstance(got, dict) else {}
+                    said = {k: got[k].strip() if isinstance(got.get(k), str) else None for k in ("statement", "excerpt")}
+                    found.append({"reference": m["reference"], **said, "matched": bool(got.get("found")) and any(said.values())})
                 out.append(found)
             kind = pa.list_(pa.struct([("reference", pa.string()), ("statement", pa.string()), ("excerpt", pa.string()), ("matched", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, "findings"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in ask_for.dtypes) + ", findings array<struct<reference: string, statement: string, excerpt: string, matched: boolean>>"
-    resolved = ask_for.mapInArrow(run, schema).withColumn("output_with_references", references.with_block(F.col("output"), F.col("findings"))).drop("findings", "_mentions")
+    resolved = ask_for.mapInArrow(run, schema).withColumn("output_with_references", references.with_block(F.col("output"), F.col("findings"))).drop("findings", "_mentions", "_context")
     return cited.where(F.size("_mentions") == 0).drop("_mentions").withColumn("output_with_references", F.col("output")).unionByName(resolved)

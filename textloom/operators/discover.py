@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,13 @@ def best_path(candidates: DataFrame) -> DataFrame:
 def discover(sample: DataFrame, text: str | None = None, id_: str | None = None, title: str | None = None, metadata: list[str] | None = None) -> dict:
     """The schema of a bounded sample of rows: names of columns, confidence, and the best candidates. A given text column is certain."""
     sample = sample.cache()
+    try:
+        return _discover(sample, text, id_, title, metadata)
+    finally:
+        sample.unpersist()
+
+
+def _discover(sample: DataFrame, text: str | None, id_: str | None, title: str | None, metadata: list[str] | None) -> dict:
     n = sample.count()
     if not n:
         raise ValueError("no rows to discover a schema from")
@@ -120,12 +127,16 @@ def joined_text(values: Column) -> Column:
 
 
 def documents(rows: DataFrame, schema: dict, source: str, limit: int | None = None) -> DataFrame:
-    """(doc_id, text, title, metadata) of rows with text. An id that is missing is made of the source, the row's number and the text's hash; a missing title is the id."""
+    """(doc_id, text, title, metadata) of rows with text. An id that is missing is made of the source, the text's hash and a number among equal texts, so it does not depend on partitions; a missing title is the id."""
     one = lambda p: F.trim(F.get(values_at(rows, p), 0).cast("string")) if p else F.lit(None).cast("string")
     d = rows.select(
         joined_text(values_at(rows, schema["text_column"])).alias("text"), F.nullif(one(schema["id_column"]), F.lit("")).alias("id"), F.nullif(one(schema["title_column"]), F.lit("")).alias("title"),
-        F.create_map(*[x for c in schema["metadata_columns"] for x in (F.lit(c), one(c))]).cast("map<string,string>").alias("metadata"), F.monotonically_increasing_id().alias("n"),
+        F.create_map(*[x for c in schema["metadata_columns"] for x in (F.lit(c), one(c))]).cast("map<string,string>").alias("metadata"),
     ).where(F.length("text") > 0)
-    made = F.concat_ws(":", F.lit(source), "n", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16))
-    d = d.withColumn("doc_id", F.coalesce("id", made)).select("doc_id", "text", F.coalesce("title", "doc_id").alias("title"), "metadata")
+    named = d.where("id is not null").withColumn("doc_id", F.col("id"))
+    hashed = d.where("id is null").withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+    number = F.row_number().over(Window.partitionBy("hash").orderBy("title"))
+    nameless = hashed.withColumn("n", number).withColumn("doc_id", F.concat_ws(":", F.lit(source), F.substring("hash", 1, 16), "n"))
+    columns = ["doc_id", "text", F.coalesce("title", "doc_id").alias("title"), "metadata"]
+    d = named.select(*columns).unionByName(nameless.select(*columns))
     return d if limit is None else d.limit(limit)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zipfile
 from collections.abc import Iterator
+from csv import DictReader
 from functools import reduce
-from io import BytesIO
+from io import BytesIO, StringIO
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import normalized_lines
+from ..operators.capacity import skim_capacity, usable_pages
+from ..operators.prefix import kept
+from ..operators.sample import page_sample
 
 DOCUMENTS = {".txt", ".md", ".markdown", ".html", ".htm", ".pdf", ".docx"}
 STRUCTURED = {".json", ".jsonl", ".csv"}
@@ -113,42 +118,73 @@ def pdf_text(raw: bytes) -> tuple[str, int]:
     return "\f".join(p for p in pages if p), len(pages)
 
 
-def _text_of(name: str, raw: bytes) -> tuple[str, int | None]:
+def _text_of(name: str, raw: bytes, native=pdf_text) -> tuple[str, int | None]:
     kind = suffix(name)
     if kind == ".docx":
         return docx_text(raw), None
     if kind == ".pdf":
-        return pdf_text(raw)
+        return native(raw)
     return raw.decode("utf-8", errors="replace"), None
 
 
-def document_files(spark: SparkSession, path: str, ocr=None, light_chars: int = 0) -> DataFrame:
+def ocr_pages(pdfs: DataFrame, ocr, limit: int = 0, seed: int = 42, group: int = 16) -> DataFrame:
+    """(doc_id, ocr_text, read) of paged files (doc_id, content, page_count): ocr, a function from a file's bytes and page numbers (from 1) to those pages' texts, reads all or `limit` pages.
+
+    Groups of pages go to tasks of their own, wherever these run, and come together in the order of their numbers.
+    """
+    pages = pdfs.withColumn("pages", page_sample(F.col("page_count"), limit, seed)).where(F.size("pages") > 0)
+    last = F.ceil(F.size("pages") / group).cast("int") - 1
+    parts = pages.select("doc_id", "content", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("pages", i * group + 1, group))).alias("part", "pages"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, page, text = [], [], []
+            for i, raw, _, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = ocr(raw, numbers)
+                ids += [i] * len(numbers)
+                page += numbers
+                text += [(t or "").strip() for t in got]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(page, pa.int32()), pa.array(text, pa.string())], ["doc_id", "page", "text"])
+
+    read = parts.repartition("doc_id", "part").mapInArrow(run, "doc_id string, page int, text string").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("ps"))
+    full = F.filter(F.transform("ps", lambda x: x["text"]), lambda x: F.length(x) > 0)
+    return read.select("doc_id", F.array_join(full, "\f").alias("ocr_text"), F.size("ps").alias("read"))
+
+
+def document_files(spark: SparkSession, path: str, ocr=None, light_chars: int = 0, ocr_limit: int = 0, native=pdf_text, seed: int = 42) -> DataFrame:
     """(doc_id, title, text, page_count, capacity_chars) of the document files under a path, blank ones left out.
 
-    ocr, a function from the bytes of a PDF to its text, is asked where native text is too sparse; without one sparse text stays. light_chars cuts texts, not their stated capacity.
+    Paged files go by native text where that is dense enough; else by ocr (see ocr_pages()) if it is given and finds text; else by sparse native text; a paged file with none of these fails the job.
+    light_chars cuts texts, and ocr_limit the pages that are read, not the stated capacity.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = files.where(F.concat(F.lit("."), F.lower(F.element_at(F.split("path", r"\."), -1))).isin(sorted(DOCUMENTS)))
     root = path.split(":", 1)[-1].rstrip("/") if "://" not in path else path.split("://", 1)[1].rstrip("/")
+    schema = pa.schema([("doc_id", pa.string()), ("title", pa.string()), ("text", pa.string()), ("page_count", pa.int32()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text, pages = _text_of(name, raw)
-                if pages is not None:
-                    full = [p for p in text.split("\f") if p.strip()]
-                    sparse = pages > 0 and (len(text.replace("\f", "")) / pages < 40 or len(full) / pages < 0.2)
-                    if sparse and ocr is not None:
-                        text = ocr(raw) or text
+                text, pages = _text_of(name, raw, native)
                 at = name.find(root)
                 rel = name[at + len(root) :].lstrip("/") if at >= 0 else name
-                chars = len(text.replace("\f", ""))
-                out.append({"doc_id": rel or name, "title": PurePosixPath(name).stem, "text": text[:light_chars] if light_chars else text, "page_count": pages, "capacity_chars": chars})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.string()), ("title", pa.string()), ("text", pa.string()), ("page_count", pa.int32()), ("capacity_chars", pa.int64())]))
-
-    read = files.select("path", "content").mapInArrow(run, "doc_id string, title string, text string, page_count int, capacity_chars long")
-    return read.where(F.length(F.trim("text")) > 0)
+                out.append({"doc_id": rel or name, "title": PurePosixPath(name).stem, "text": text, "page_count": pages, "content": raw if pages is not None and ocr is not None else None})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    read = files.select("path", "content").mapInArrow(run, "doc_id string, title string, text string, page_count int, content binary")
+    chars = F.length(F.replace("text", F.lit("\f"), F.lit("")))
+    stated = chars.cast("long")
+    if ocr is not None:
+        read = kept(read.withColumn("sparse", F.coalesce(~usable_pages(F.col("text"), F.col("page_count")), F.lit(False))))
+        found = ocr_pages(read.where("sparse and page_count > 0").select("doc_id", "content", "page_count"), ocr, ocr_limit, seed)
+        read = read.drop("content").join(found, "doc_id", "left")
+        by_ocr = F.length(F.trim(F.coalesce("ocr_text", F.lit("")))) > 0
+        read = read.withColumn("text", F.when(by_ocr, F.col("ocr_text")).otherwise(F.col("text")))
+        stated = F.when(by_ocr, skim_capacity(chars, F.col("read"), F.col("page_count"))).otherwise(chars).cast("long")
+    none = F.col("page_count").isNotNull() & (F.length(F.trim("text")) == 0)
+    text = F.when(none, F.raise_error(F.concat(F.lit("no text in "), F.col("doc_id"))).cast("string")).otherwise(F.substring("text", 1, light_chars) if light_chars else F.col("text"))
+    return read.select("doc_id", "title", text.alias("text"), "page_count", stated.alias("capacity_chars")).where(F.length(F.trim("text")) > 0)
 
 
 def zip_members(raw: bytes, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes]]:
@@ -166,7 +202,7 @@ def zip_members(raw: bytes, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes
 
 
 def zipped_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, title, text) of the document files in archives; archives in archives stay shut."""
+    """(doc_id, title, text) of the document files in archives; archives in archives stay shut. Structured members are rows of their own: zipped_rows() reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,6 +214,29 @@ def zipped_documents(spark: SparkSession, path: str) -> DataFrame:
     return read.where(F.length(F.trim("text")) > 0)
 
 
+def zipped_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(member, value) of the JSON objects in the structured members of archives: lines, items of arrays or first wrappers, and rows of CSV files as objects of strings."""
+
+    def objects(name: str, data: bytes) -> Iterator[object]:
+        text = data.decode("utf-8-sig", errors="replace")
+        if suffix(name) == ".csv":
+            yield from DictReader(StringIO(text))
+        elif suffix(name) == ".jsonl":
+            yield from (json.loads(line) for line in text.splitlines() if line.strip())
+        else:
+            whole = json.loads(text)
+            lists = [whole] if isinstance(whole, list) else [whole[k] for k in WRAPPERS if isinstance(whole, dict) and isinstance(whole.get(k), list) and whole[k] and all(isinstance(x, dict) for x in whole[k])]
+            yield from lists[0] if lists else [whole]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                rows = [(n, json.dumps(x)) for n, data in zip_members(raw) if suffix(n) in STRUCTURED for x in objects(n, data) if isinstance(x, dict)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["member", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, value string")
+
+
 def extracted(df: DataFrame, text: str = "text") -> DataFrame:
     """Texts of native extraction with their lines normalized."""
     return df.withColumn(text, normalized_lines(F.col(text)))
