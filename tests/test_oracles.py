@@ -16,7 +16,9 @@ def duck(sf):
 
 
 FAST = ["text_clean", "document_gates", "line_gates", "section_parse", "sentence_split", "text_scalars", "chunks_line", "chunks_section", "pair_gates", "instruction_keys", "near_first", "transcripts", "column_pairs", "text_columns", "id_columns",
-        "nested_text", "corpus_capacity", "overlap_join", "work_queue", "augmentation", "page_sample", "resume", "citations", "unique_errors", "latest_status"]
+        "nested_text", "corpus_capacity", "overlap_join", "work_queue", "augmentation", "page_sample", "resume", "citations", "unique_errors", "latest_status",
+        "chunks_paragraph", "chunks_page", "claims", "anchor_projection", "shared_work", "analysis_sample", "read_jsonl", "read_csv", "dense_pages", "source_sizes", "detected", "lookup_contexts", "reference_blocks",
+        "task_labels", "document_summaries", "model_answers"]
 
 
 @pytest.mark.parametrize("name", FAST)

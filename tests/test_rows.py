@@ -59,11 +59,40 @@ def test_page_numbers(spark):
 
 
 def test_projection(spark):
-    pool = spark.createDataFrame([("d", "s", 0, 0, 10), ("d", "s", 1, 50, 60), ("d", "p", 0, 90, 99)], "doc_id string, persona string, pool_index int, start int, end int")
-    anchors = spark.createDataFrame([("d", 0, 5, 8), ("d", 1, 20, 30)], "doc_id string, anchor int, a_start int, a_end int")
-    levels = spark.createDataFrame([("s", "section"), ("p", "paragraph")], "persona string, level string")
-    got = {(r.anchor, r.persona): (r.pool_index, r.start) for r in sample.projected(pool, anchors, levels, 1).collect()}
-    assert got == {(0, "s"): (0, 0), (1, "s"): (0, 0), (0, "p"): (None, 5), (1, "p"): (None, 20)}
+    long = "The engine draws its water from the upper tank through two pipes that run along the wall."
+    other = "Every second valve is closed at night so that the pressure in the lower tank stays constant."
+    text = f"Short one.\n{long}\n{other}"
+    pool = spark.createDataFrame([("d", "s", 0, 0, 10), ("d", "s", 1, 50, 60), ("d", "p", 0, 90, 99), ("d", "l", 0, 0, 7)], "doc_id string, persona string, pool_index int, start int, end int")
+    anchors = spark.createDataFrame([("d", 0, 5, 8, "five"), ("d", 1, 20, 30, text), ("d", 2, 30, 40, "no line")], "doc_id string, anchor int, a_start int, a_end int, a_text string")
+    levels = spark.createDataFrame([("s", "section"), ("p", "paragraph"), ("l", "line")], "persona string, level string")
+    got = {(r.anchor, r.persona): r for r in sample.projected(pool, anchors, levels, 1).collect()}
+    at = {k: (r.pool_index, r.start) for k, r in got.items() if k[1] != "l"}
+    assert at == {(0, "s"): (0, 0), (1, "s"): (0, 0), (2, "s"): (1, 50), (0, "p"): (None, 5), (1, "p"): (None, 20), (2, "p"): (None, 30)}
+    assert got[1, "p"].own_text == text
+    # Lines: one that overlaps, one made from the anchor, none.
+    assert got[0, "l"].pool_index == 0 and (2, "l") not in got
+    line = got[1, "l"]
+    assert line.own_target in (long, other) and line.own_text == f"{long}\n{other}" and line.start == 20 + text.find(line.own_target) and line.end == line.start + len(line.own_target)
+
+
+def test_claims_keep_rows(spark):
+    rows = [(1, "Explain apples fully now"), (1, "Explain pears fully now"), (None, "Explain plums fully now"), (None, "Explain plums fully now"), (2, None)]
+    got = dedupe.claimed(spark.createDataFrame(rows, "n int, x string"), "x", ["n"]).select("n", "x", "accepted").collect()
+    assert sorted(map(repr, ((r.n, r.x) for r in got))) == sorted(map(repr, rows))
+    assert {(r.x, r.accepted) for r in got if r.n == 1} == {(rows[0][1], True), (rows[1][1], True)} and sorted(r.accepted for r in got if r.n is None) == [False, True]
+
+
+def test_claims_like_a_fold(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([2, 6, 7])) + ([f"x{rng.randrange(400)}"] if rng.random() < 0.7 else []))) for i in range(400)]
+    df = spark.createDataFrame(rows, "n int, x string").repartition(5)
+    fold, want = dedupe.Claims(), {}
+    for r in sorted(dedupe.with_keys(df, "x").collect()):
+        want[r.n] = fold.claim(r.near_key, r.stem_key, False)
+    assert {r.n: r.accepted for r in dedupe.claimed(df, "x", ["n"]).collect()} == want and 0 < sum(want.values()) < 400
 
 
 def test_detection(spark):

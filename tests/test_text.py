@@ -46,7 +46,8 @@ def test_prompts(spark):
 def test_containment(spark):
     df = spark.createDataFrame([("What does the method do?", "It runs."), ("What does the method of Newton do?", "It runs."), ("According to it, why?", "So."), ("", "x"), ("Name *A title* now", "x")], "i string, o string")
     got = [r[0] for r in df.select(gates.containment_failure(F.col("i"), F.col("o"))).collect()]
-    assert [g and g.split()[1] for g in got] == ["uses", None, "depends", "instruction", "depends"]
+    for g, want in zip(got, ("subject", None, "source", "empty", "source"), strict=True):
+        assert (g is None) if want is None else want in g
 
 
 def test_html():

@@ -18,8 +18,9 @@ PERSONAS = (("line-analyst", "line"), ("summarizer", "section"))
 
 def instructions(spark, sf_dir) -> DataFrame:
     """The first sentence of each document as an instruction."""
-    first = F.get(structure.sentences(F.col("cleaned")), 0)
-    return docs(spark, sf_dir).select("doc_id", first.alias("instruction")).where("instruction is not null")
+    # A row's number keeps the condition above the cleaning, which it would run anew below.
+    first = F.struct(structure.first_sentence(F.col("cleaned")).alias("s"), F.monotonically_increasing_id().alias("row"))
+    return docs(spark, sf_dir).select("doc_id", first.alias("first")).where("first.s is not null").select("doc_id", F.col("first.s").alias("instruction"))
 
 
 _INSTRUCTIONS = f"{s.DOCS}, ins as (select doc_id, {s.sentences('cleaned')}[1] as instruction from docs where len({s.sentences('cleaned')}) > 0)"
@@ -94,23 +95,23 @@ def corpus_capacity(spark, sf_dir):
     return both.select("chars", "pages", capacity.rows_from_chars(F.col("chars"), 4).alias("rows"), capacity.extrapolated(F.lit(100), F.lit(5000), F.col("chars"), 4).alias("extrapolated"), capacity.skim_capacity(F.col("chars"), F.lit(3), F.lit(10)).alias("skimmed"))
 
 
-def pools(spark, sf_dir) -> DataFrame:
-    """Line and section chunks as the pools of two personas. Both rest on the sections, and all that follows on the pools, so each is computed once."""
+def pools_and_anchors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Line and section chunks as the pools of two personas, and all paragraph chunks as anchors. All rest on the sections, so each is computed once."""
     found = kept(sections(spark, sf_dir))
     both = chunk.line_chunks(found).withColumn("persona", F.lit("line-analyst")).unionByName(chunk.section_chunks(found).withColumn("persona", F.lit("summarizer")))
-    return kept(both.select("doc_id", "persona", "pool_index", "start", "end"))
+    anchors = chunk.paragraph_chunks(found).select("doc_id", F.col("pool_index").alias("anchor"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("target_text").alias("a_text"))
+    return kept(both.select("doc_id", "persona", "pool_index", "start", "end")), anchors
+
+
+def pools(spark, sf_dir) -> DataFrame:
+    return pools_and_anchors(spark, sf_dir)[0]
 
 
-_POOLS = f"""{s.FULL}, {s.CHOSEN_LINES}, {s.LINE_CHUNKS}, section_parts as (select * replace (text[1:16000] as text) from candidates
+_POOLS = f"""{s.FULL.replace("with ", "with recursive ", 1)}, {s.CHOSEN_LINES}, {s.LINE_CHUNKS}, {s.PARAGRAPHS}, section_parts as (select * replace (text[1:16000] as text) from candidates
     ), section_chunks as (select doc_id, row_number() over (partition by doc_id order by section_id) - 1 as pool_index, start::integer as start, (start + length(text))::integer as "end"
         from ({s.measured("section_parts", "text")}) where not {s.PROMPT_ONLY} and {s.high_value(160)} qualify pool_index < 5000
     ), pool as (select doc_id, 'line-analyst' as persona, pool_index, start, "end" from line_chunks where pool_index < 5000 union all select doc_id, 'summarizer', pool_index, start, "end" from section_chunks
-    ), anchors as (select doc_id, pool_index as anchor, start as a_start, "end" as a_end from line_chunks where pool_index < 5000 and pool_index % 3 = 0)"""
-
-
-def anchors(pool: DataFrame) -> DataFrame:
-    """Every third line chunk as an anchor."""
-    return pool.where("persona = 'line-analyst' and pool_index % 3 = 0").select("doc_id", F.col("pool_index").alias("anchor"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    ), anchors as (select doc_id, pool_index as anchor, start as a_start, "end" as a_end, target_text as a_text from paragraph_chunks where pool_index < 5000)"""
 
 
 def levels(spark) -> DataFrame:
@@ -122,19 +123,19 @@ def persona_capacity(spark, sf_dir):
 
 
 def overlap_join(spark, sf_dir):
-    pool = pools(spark, sf_dir)
-    return sample.overlapping(pool, anchors(pool)).groupBy("doc_id", "anchor", "persona").agg(F.count(F.lit(1)).alias("chunks"), F.min("pool_index").cast("long").alias("first"))
+    pool, anchors = pools_and_anchors(spark, sf_dir)
+    return sample.overlapping(pool, anchors).groupBy("doc_id", "anchor", "persona").agg(F.count(F.lit(1)).alias("chunks"), F.min("pool_index").cast("long").alias("first"))
 
 
 def nearest_join(spark, sf_dir):
-    pool = pools(spark, sf_dir)
-    return sample.nearest(pool, anchors(pool)).select("doc_id", "anchor", "persona", "pool_index", "start", "end").withColumn("anchor", F.col("anchor").cast("long")).withColumn("pool_index", F.col("pool_index").cast("long"))
+    pool, anchors = pools_and_anchors(spark, sf_dir)
+    return sample.nearest(pool, anchors).select("doc_id", "anchor", "persona", "pool_index", "start", "end").withColumn("anchor", F.col("anchor").cast("long")).withColumn("pool_index", F.col("pool_index").cast("long"))
 
 
 def anchor_projection(spark, sf_dir):
-    pool = pools(spark, sf_dir)
-    p = sample.projected(pool, anchors(pool), levels(spark), SEED)
-    return p.select("doc_id", F.col("anchor").cast("long").alias("anchor"), "persona", F.col("pool_index").cast("long").alias("pool_index"), "start", "end")
+    pool, anchors = pools_and_anchors(spark, sf_dir)
+    p = sample.projected(pool, kept(anchors), levels(spark), SEED)
+    return p.select("doc_id", F.col("anchor").cast("long").alias("anchor"), "persona", F.col("pool_index").cast("long").alias("pool_index"), "start", "end", "own_target")
 
 
 def work_queue(spark, sf_dir):
@@ -148,9 +149,9 @@ def work_allocation(spark, sf_dir):
 
 
 def shared_work(spark, sf_dir):
-    pool = pools(spark, sf_dir)
-    w = sample.build_work(pool, 4, SEED, anchors=anchors(pool), levels=levels(spark))
-    return w.select("doc_id", "index", "persona", "pool_index", "start", "end", "pass", "task_focus")
+    pool, anchors = pools_and_anchors(spark, sf_dir)
+    w = sample.build_work(pool, 4, SEED, anchors=kept(anchors), levels=levels(spark))
+    return w.select("doc_id", F.col("index").cast("long").alias("index"), "persona", F.col("pool_index").cast("long").alias("pool_index"), "start", "end", F.col("pass").cast("long").alias("pass"), "task_focus", "own_target")
 
 
 def augmentation(spark, sf_dir):
@@ -236,14 +237,27 @@ _CHATS = f"""select conv_id, count(*) as turns, count(*) >= 2 and coalesce(bool_
     from conversations group by conv_id"""
 _CELLS = """cells as (select 'doc_id' as path, 'integer' as kind, doc_id::varchar as value from documents union all select 'text', 'string', text from documents union all select 'lang', 'string', lang from documents
     union all select 'source', 'string', source from documents union all select 'n_chars', 'integer', n_chars::varchar from documents), total as (select count(*) as n from documents)"""
-_WORK = f"""{_POOLS}, plan as (select doc_id, count(distinct persona) as personas, count(*) as total, greatest(1, ceil(4 / count(distinct persona)))::bigint as slots, 4 >= count(*) as full_ from pool group by doc_id
+_DRAW = "('0x' || substr({}, {}, 8))::bigint"
+_TAKE = "case when full_ then size when pass = 0 then least(size, slots) else least(size, greatest(1, (slots + 1) // 2)) end"
+_PLAN = f"""plan as (select doc_id, count(distinct persona) as personas, count(*) as total, greatest(1, ceil(4 / count(distinct persona)))::bigint as slots, 4 >= count(*) as full_ from pool group by doc_id
     ), passes as (select *, unnest(range(0, case when full_ then 3 else 2 end)) as pass from plan
     ), sized as (select p.*, slots, full_, pass, count(*) over (partition by p.doc_id, persona, pass) as size, {s.key(SEED, "'pool'", "p.doc_id", "persona", "pool_index", "pass")} as k from pool p join passes using (doc_id)
-    ), taken as (select *, row_number() over (partition by doc_id, persona, pass order by k) as place from sized
-        qualify place <= case when full_ then size when pass = 0 then least(size, slots) else least(size, greatest(1, (slots + 1) // 2)) end
-    ), focused as (select *, row_number() over (partition by doc_id order by pass, persona, place, pool_index, start) - 1 as cur, {s.key(SEED, "'work'", "doc_id", "persona", "start", '"end"', "pass", "place")} as wk from taken
+    ), taken as (select *, row_number() over (partition by doc_id, persona, pass order by k) as place from sized qualify place <= {_TAKE})"""
+_WORK = f"""{_POOLS}, {_PLAN}, focused as (select *, row_number() over (partition by doc_id order by pass, persona, place, pool_index, start) - 1 as cur, {s.key(SEED, "'work'", "doc_id", "persona", "start", '"end"', "pass", "place")} as wk from taken
     ), work as (select doc_id, row_number() over (partition by doc_id order by wk, persona, place) - 1 as index, persona, pool_index, pass, ['explain', 'extract', 'compare'][cur % 3 + 1] as task_focus from focused)"""
-_DRAW = "('0x' || substr({}, {}, 8))::bigint"
+_LINES_OF = f"list_transform(string_split_regex({s.strip('a_text')}, {s.LINE_END}), lambda x: {s.strip('x')})"
+#: One chunk for each anchor and persona: one that overlaps, else a line of the anchor for lines, else the nearest for sections.
+_PROJECTED = f"""ranked as (select a.doc_id, anchor, persona, pool_index, start, "end", a_start, a_text, start < a_end and "end" > a_start as hit,
+        row_number() over (partition by a.doc_id, anchor, persona order by not (start < a_end and "end" > a_start),
+            case when start < a_end and "end" > a_start then {s.key(SEED, "'overlap'", "a.doc_id", "anchor", "persona", "pool_index")} end, abs(start - a_start), pool_index) as r
+        from anchors a join pool p on a.doc_id = p.doc_id
+    ), bare as (select doc_id, anchor, persona, a_start, {s.strip("a_text")} as a_text, unnest({_LINES_OF}) as line, generate_subscripts({_LINES_OF}, 1) as pos from ranked where r = 1 and not hit and persona = 'line-analyst'
+    ), bare_flags as (select *, {s.high_value(40)} as high, length(line) >= 40 and not {s.PROMPT_ONLY} as fair from ({s.measured("bare", "line", "doc_id, anchor, persona, a_start, a_text, line, pos")})
+    ), bare_lines as (select * from (select *, bool_or(high) over (partition by doc_id, anchor, persona) as any_high from bare_flags) where high or (not any_high and fair)
+    ), made as (select doc_id, anchor, persona, a_start, a_text, ls[{_DRAW.format(s.key(SEED, "'line'", "doc_id", "anchor", "persona"), 1)} % len(ls) + 1] as own_target
+        from (select doc_id, anchor, persona, any_value(a_start) as a_start, any_value(a_text) as a_text, list(line order by pos) as ls from bare_lines group by doc_id, anchor, persona)
+    ), projected as (select doc_id, anchor, persona, pool_index, start, "end", null::varchar as own_target from ranked where r = 1 and (hit or persona = 'summarizer')
+        union all select doc_id, anchor, persona, null, (a_start + greatest(instr(a_text, own_target) - 1, 0))::integer, (a_start + greatest(instr(a_text, own_target) - 1, 0) + length(own_target))::integer, own_target from made)"""
 _CITED = "cited as (select conv_id, turn, text || ' See Section ' || turn || '.2 and Sec. 4, figures 3; § 12; Theorem A' || conv_id || '(b). Paragraph (a)(ii), sub-paragraph (b), (c)(iv), corollaries 2, Appendices 7, SECTION ' || turn || '.2' as text from conversations)"
 _KIND = "case when raw[1] = '§' then 'section' else coalesce(map {" + ", ".join(f"{s.q(k)}: {s.q(v)}" for k, v in (references.SHORT | references.PLURALS).items()) + "}[lower(regexp_extract(raw, '^([A-Za-z]+)', 1))], regexp_replace(lower(regexp_extract(raw, '^([A-Za-z]+)', 1)), 's$', '')) end"
 _MENTIONS = f"""{_CITED}, raws as (
@@ -277,10 +291,23 @@ ORACLES = {
     "persona_capacity": f"{_POOLS} select persona, count(*) as pool_size, count(*) * 3 as capacity from pool group by persona",
     "overlap_join": f"""{_POOLS} select doc_id, anchor::integer as anchor, persona, count(*) as chunks, min(pool_index) as first from anchors join pool using (doc_id) where start < a_end and "end" > a_start group by all""",
     "nearest_join": f"""{_POOLS} select doc_id, anchor, persona, pool_index, start, "end" from anchors join pool using (doc_id) qualify row_number() over (partition by doc_id, anchor, persona order by abs(start - a_start), pool_index) = 1""",
-    "anchor_projection": f"""{_POOLS}, ranked as (select a.doc_id, anchor, persona, pool_index, start, "end", start < a_end and "end" > a_start as hit,
-            row_number() over (partition by a.doc_id, anchor, persona order by not (start < a_end and "end" > a_start),
-                case when start < a_end and "end" > a_start then {s.key(SEED, "'overlap'", "a.doc_id", "anchor", "persona", "pool_index")} end, abs(start - a_start), pool_index) as r
-            from anchors a join pool p on a.doc_id = p.doc_id) select doc_id, anchor, persona, pool_index, start, "end" from ranked where r = 1""",
+    "anchor_projection": f"{_POOLS}, {_PROJECTED} select doc_id, anchor, persona, pool_index, start, \"end\", own_target from projected",
+    "shared_work": f"""{_POOLS}, {_PROJECTED}, {_PLAN}, shared_docs as (select doc_id from plan where personas >= 2 and doc_id in (select doc_id from anchors)
+        ), a_sized as (select a.doc_id, anchor, slots, full_, pass, count(*) over (partition by a.doc_id, pass) as size, {s.key(SEED, "'anchor'", "a.doc_id", "anchor", "pass")} as k from anchors a join passes p on a.doc_id = p.doc_id where personas >= 2
+        ), a_taken as (select * from a_sized qualify row_number() over (partition by doc_id, pass order by k) <= {_TAKE}
+        ), both_ as (select doc_id, persona, pool_index, start, "end", pass, place, null as own_target from taken where doc_id not in (select doc_id from shared_docs)
+            union all select p.doc_id, persona, pool_index, start, "end", pass, p.anchor, own_target from projected p join a_taken t on p.doc_id = t.doc_id and p.anchor = t.anchor
+        ), focused as (select *, row_number() over (partition by doc_id order by pass, persona, place, pool_index nulls first, start) - 1 as cur, {s.key(SEED, "'work'", "doc_id", "persona", "start", '"end"', "pass", "place")} as wk from both_)
+        select doc_id, row_number() over (partition by doc_id order by wk, persona, place) - 1 as index, persona, pool_index, start, "end", pass, ['explain', 'extract', 'compare'][cur % 3 + 1] as task_focus, own_target from focused""",
+    "analysis_sample": f"""with r as (select doc_id, coalesce(length(text), 0) as chars, row_number() over (order by coalesce(length(text), 0) desc, doc_id) as n, count(*) over () as total from documents)
+        select doc_id, chars from r where n <= greatest(4, total - total // 2) order by {s.key(SEED, "'analysis'", "doc_id")} limit 4""",
+    "claims": f"""with recursive {_KEYS}, judged as materialized (select doc_id, near_key, stem_key, {s.strip("instruction")} = '' or {s.like(s.strip("instruction"), dedupe.lex.CITES_CONTEXT)} or {s.like(s.strip("instruction"), dedupe.lex.STARRED_TITLE)} as cites from keyed
+        ), rows as materialized (select *, row_number() over (order by doc_id) as n from judged where not cites
+        ), fold as (select 0::bigint as n, null::bigint as doc_id, false as accepted, []::varchar[] as nears, []::varchar[] as stems
+            union all select q.n, q.doc_id, ok, case when ok then list_append(nears, near_key) else nears end, case when ok then list_append(stems, stem_key) else stems end
+            from (select r.n, r.doc_id, near_key, stem_key, nears, stems, not list_contains(nears, near_key) and not (len(stems) >= {dedupe.STEM_FROM} and len(list_filter(stems, lambda x: x = stem_key)) >= {dedupe.STEM_TWICE}
+                and (len(list_filter(stems, lambda x: x = stem_key)) + 1) / (len(stems) + 1) > {dedupe.STEM_SHARE}) as ok from fold f join rows r on r.n = f.n + 1) q)
+        select doc_id, accepted from fold where n > 0 union all select doc_id, false from judged where cites""",
     "work_queue": f"{_WORK} select * from work",
     "work_allocation": f"""{_WORK}, n as (select doc_id, count(*) as n from work group by doc_id), q as (select doc_id, n, 500 - coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as quota from n)
         select doc_id, least(n, quota)::bigint as rows from q where quota > 0""",
@@ -296,6 +323,7 @@ ORACLES = {
     "label_coverage": "select lang, count(*) as documents, count(l.doc_id) as labelled, count(l.doc_id) / count(*) as coverage from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id group by lang",
     "citations": f"with {_MENTIONS} select conv_id, turn, pos, kind, label, reference, raw from mentions",
     "citation_merge": f"with {_MENTIONS} select conv_id || '-' || turn as id, reference, starts_with(reference, 'section') as matched, case when not starts_with(reference, 'section') then 'omitted by resolver' end as reason from mentions",
+    "model_answers": """select conv_id, turn, case when turn % 3 < 2 then text else text[1:length(text) - 2] end as output from conversations""",
     "unique_errors": "select props as message, min(event_id) as event_id from events where event_type = 'error' group by props order by event_id limit 100",
     "latest_status": "select user_id as job_id, arg_max(event_type, (ts, event_id)) as status, arg_max(value, (ts, event_id)) as value from events group by user_id",
 }

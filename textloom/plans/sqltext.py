@@ -164,3 +164,68 @@ LINE_CHUNKS = """line_chunks as (
 )"""
 
 FULL = f"with {DOCS}, {LINES}, {SECTIONS}, {CANDIDATES}"
+
+#: Paragraph chunks: windows grow step by step, by recursion.
+PARAGRAPHS = f"""pg_pars as (
+    select doc_id, section_id, title, text, start, unnest(paragraphs) as paragraph, generate_subscripts(paragraphs, 1) as par from candidates
+), pg_flags as (
+    select *, {high_value(80)} as h80, {high_value(60)} as h60, {high_value(40)} as h40, {PROMPT_ONLY} as prompt from ({measured("pg_pars", "paragraph", "doc_id, section_id, title, text, start, paragraph, par")})
+), pg_any as (
+    select *, bool_or(h80) over (partition by doc_id, section_id) as any80, bool_or(h60) over (partition by doc_id, section_id) as any60 from pg_flags
+), pg_around as (
+    select doc_id, section_id, list(paragraph order by par) as texts, list(h40 order by par) as highs from pg_any where case when any60 then h60 else not prompt end group by doc_id, section_id
+), pg_targets as materialized (
+    select p.doc_id, p.section_id, par, paragraph, title, text, start, texts, highs, list_position(texts, paragraph) as spot from pg_any p join pg_around a on p.doc_id = a.doc_id and p.section_id = a.section_id
+    where case when any80 then h80 else length(paragraph) >= 80 and not prompt end and list_contains(texts, paragraph)
+), pg_grow as (
+    select doc_id, section_id, par, 0 as step, paragraph as win, spot - 1 as lo, spot + 1 as hi, false as done from pg_targets
+    union all
+    select doc_id, section_id, par, step + 1, case when fits then wider else win end, case when on_left then lo - 1 else lo end, case when on_left then hi else hi + 1 end, highs[cand] and not fits
+    from (
+        select *, highs[cand] and (length(wider) <= 4000 or length(win) < 400) as fits
+        from (
+            select *, case when on_left then texts[cand] || chr(10) || chr(10) || win else win || chr(10) || chr(10) || texts[cand] end as wider
+            from (
+                select *, case when on_left then lo else hi end as cand
+                from (
+                    select g.*, t.texts, t.highs, t.spot, lo >= 1 and (hi > len(t.texts) or t.spot - lo <= hi - t.spot) as on_left
+                    from pg_grow g join pg_targets t on g.doc_id = t.doc_id and g.section_id = t.section_id and g.par = t.par
+                    where not done and length(win) < 1200 and (lo >= 1 or hi <= len(t.texts))
+                )
+            )
+        )
+    )
+), pg_windows as (
+    select t.doc_id, t.section_id, t.par, title, text, start, paragraph, w.win from pg_targets t
+    join (select doc_id, section_id, par, arg_max(win, step)[1:4000] as win from pg_grow group by all) w on t.doc_id = w.doc_id and t.section_id = w.section_id and t.par = w.par
+), paragraph_chunks as (
+    select doc_id, row_number() over (partition by doc_id order by section_id, par) - 1 as pool_index, title as section_path, win as text, paragraph[1:16000] as target_text,
+           (start + greatest(instr(section_text, paragraph) - 1, 0))::integer as start, (start + greatest(instr(section_text, paragraph) - 1, 0) + length(paragraph))::integer as "end"
+    from (select * from ({measured("(select *, text as section_text from pg_windows)", "win", "doc_id, section_id, par, title, section_text, start, paragraph, win")}) where not {PROMPT_ONLY} and {high_value(120)})
+)"""
+
+#: Page chunks: paragraphs packed into pages, and the pages found one after the other.
+PAGES = f"""with recursive {DOCS}, pp_parts as materialized (
+    select doc_id, cleaned, list_filter(list_transform(string_split_regex(cleaned, '\\n\\s*\\n'), lambda x: {strip("x")}), lambda x: length(x) > 0) as parts from docs
+), pp_pack as (
+    select doc_id, 1 as i, 0 as page, parts[1] as text, length(parts[1]) as size from pp_parts where len(parts) > 0
+    union all
+    select k.doc_id, i + 1, case when size + length(parts[i + 1]) > 2500 then page + 1 else page end, case when size + length(parts[i + 1]) > 2500 then parts[i + 1] else text || chr(10) || chr(10) || parts[i + 1] end,
+           case when size + length(parts[i + 1]) > 2500 then length(parts[i + 1]) else size + length(parts[i + 1]) + 2 end
+    from pp_pack k join pp_parts p on k.doc_id = p.doc_id where i < len(parts)
+), pp_pages as (
+    select doc_id, page, arg_max(text, i) as text from pp_pack where doc_id in (select doc_id from docs where not contains(cleaned, chr(12))) group by doc_id, page
+    union all
+    select doc_id, generate_subscripts(ps, 1) - 1, unnest(ps) from (select doc_id, list_filter(list_transform(string_split(cleaned, chr(12)), lambda x: {strip("x")}), lambda x: length(x) > 0) as ps from docs where contains(cleaned, chr(12)))
+), pp_chosen as materialized (
+    select doc_id, page, text, row_number() over (partition by doc_id order by page) as k from ({measured("pp_pages", "text", "doc_id, page, text")}) where not {NON_CONTENT} and ({high_value(80)} or (length(text) >= 80 and not {PROMPT_ONLY}))
+), pp_placed as (
+    select doc_id, 0::bigint as k, 0::bigint as place, 0::bigint as after from docs
+    union all
+    select q.doc_id, q.k, case when f > 0 then after + f - 1 else after end, case when f > 0 then after + f - 1 else after end + length(q.text)
+    from (select c.*, p.after, instr(d.cleaned[p.after + 1:], c.text) as f from pp_placed p join pp_chosen c on p.doc_id = c.doc_id and c.k = p.k + 1 join docs d on d.doc_id = p.doc_id) q
+), pp_cut as (
+    select c.doc_id, page, text[1:16000] as text, place from pp_chosen c join pp_placed p on c.doc_id = p.doc_id and c.k = p.k
+)
+select doc_id, row_number() over (partition by doc_id order by page) - 1 as pool_index, 'Page ' || (page + 1) as section_path, text, text as target_text, place::integer as start, (place + length(text))::integer as "end"
+from ({measured("pp_cut", "text", "doc_id, page, text, place")}) where not {PROMPT_ONLY} and {high_value(120)} qualify pool_index < 5000"""

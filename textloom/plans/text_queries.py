@@ -122,6 +122,8 @@ ORACLES = {
         select doc_id, row_number() over (partition by doc_id order by section_id) - 1 as pool_index, title as section_path, text, text as target_text, start::integer as start, (start + length(text))::integer as "end"
         from ({s.measured("parts", "text")}) where not {s.PROMPT_ONLY} and {s.high_value(160)} qualify pool_index < 5000""",
     "chunks_line": f"{s.FULL}, {s.CHOSEN_LINES}, {s.LINE_CHUNKS} select * from line_chunks where pool_index < 5000",
+    "chunks_page": s.PAGES,
+    "chunks_paragraph": f"{s.FULL.replace('with ', 'with recursive ', 1)}, {s.PARAGRAPHS} select * from paragraph_chunks where pool_index < 5000",
     "chunks_needle": f"""{s.FULL}, pars as (
             select doc_id, section_id, title, text, start, unnest(paragraphs) as paragraph, generate_subscripts(paragraphs, 1) as par from candidates
         ), par_flags as (select *, {s.high_value(80)} as high, length(paragraph) >= 80 and not {s.PROMPT_ONLY} as fair from ({s.measured("pars", "paragraph", "doc_id, section_id, title, text, start, paragraph, par")})
@@ -136,6 +138,6 @@ ORACLES = {
             select conv_id, turn, role, {s.strip("coalesce(text, '')")} as i, {s.strip("coalesce(lead(text) over (partition by conv_id order by turn), '')")} as o from conversations
         ), judged as (select *, i = '' or {s.like("i", lex.CITES_CONTEXT)} or {s.like("i", lex.STARRED_TITLE)} as cites,
                regexp_replace(i || chr(10) || o, {s.q(lex.VAGUE + lex.NAMED_AFTER)}, ' ', 'g') as named from pairs where role = 'user')
-        select conv_id, turn, cites, case when i = '' or o = '' then 'Empty instruction or output' when cites or {s.like("o", lex.CITES_CONTEXT)} then 'Pair depends on unseen source provenance'
-            when {s.like("named", lex.VAGUE)} then 'Pair uses an underspecified subject instead of a named one' end as failure, length(i) >= 8 and length(o) >= 2 as valid from judged""",
+        select conv_id, turn, cites, case when i = '' or o = '' then 'the instruction or the output is empty' when cites or {s.like("o", lex.CITES_CONTEXT)} then 'the pair points at a source that a reader does not see'
+            when {s.like("named", lex.VAGUE)} then 'the pair has a subject without a name' end as failure, length(i) >= 8 and length(o) >= 2 as valid from judged""",
 }
