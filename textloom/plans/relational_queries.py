@@ -323,7 +323,7 @@ ORACLES = {
     "label_coverage": "select lang, count(*) as documents, count(l.doc_id) as labelled, count(l.doc_id) / count(*) as coverage from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id group by lang",
     "citations": f"with {_MENTIONS} select conv_id, turn, pos, kind, label, reference, raw from mentions",
     "citation_merge": f"with {_MENTIONS} select conv_id || '-' || turn as id, reference, starts_with(reference, 'section') as matched, case when not starts_with(reference, 'section') then 'omitted by resolver' end as reason from mentions",
-    "model_answers": """select conv_id, turn, case when turn % 3 < 2 then text else text[1:length(text) - 2] end as output from conversations""",
+    "model_answers": """select conv_id, turn, case when turn % 3 < 2 then text else rtrim(text[1:length(text) - 2]) end as output from conversations""",
     "unique_errors": "select props as message, min(event_id) as event_id from events where event_type = 'error' group by props order by event_id limit 100",
     "latest_status": "select user_id as job_id, arg_max(event_type, (ts, event_id)) as status, arg_max(value, (ts, event_id)) as value from events group by user_id",
 }
