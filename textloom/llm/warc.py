@@ -5,10 +5,11 @@ one frame for each record. Reading walks over the frames by their block headers,
 validates each record: version line, required headers, Content-Length against the block, the closing blank lines, the HTTP length and the payload's digest.
 
 Archives are written by Spark's text writer, one row a file, with an empty skippable frame as line separator, so that they go to any file
-system that Spark knows, under its commit protocol: a lost executor's archives are written again, half ones never appear. They are read by Spark's binary reader.
+system that Spark knows, under its commit protocol: a lost executor's archives are written again, half ones never appear. They are read by Spark's binary reader,
+a whole archive at a time, so archives of other makers must be below 2 GiB.
 
 Cases: null html is an empty payload; a null url is left out. Of rows that share the smallest page_id of their payload, all are responses; a null page_id is greater than
-any other, and refers to nothing if no row of its payload has one. An empty table writes no record. Extra columns are ignored.
+any other, and refers to nothing if no row of its payload has one. A payload of any length below that is one record. An empty table writes no record. Extra columns are ignored.
 """
 
 from __future__ import annotations
