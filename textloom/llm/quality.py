@@ -110,18 +110,17 @@ def _vector(d: DataFrame) -> DataFrame:
     return d.withColumns(parts).withColumns({"own": F.concat(own("lang"), F.lit("\n"), own("source")), "pooled": own("lang")})
 
 
-def _distance(prefix: str = "") -> Column:
-    """Squared Mahalanobis distance from columns m0.. and the factor l00.. of the covariance: forward substitution, unrolled."""
-    z: list[Column] = []
+def _with_distance(df: DataFrame) -> DataFrame:
+    """df with d2, the squared Mahalanobis distance from columns m0.. and the factor l00.. of the covariance, by forward substitution: each part is a column, so that it is computed once."""
     for i in range(P):
         rest = F.col(NAMES[i]) - F.col(f"m{i}")
         for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * z[j]
-        z.append(rest / F.col(f"l{i}{i}"))
-    out = z[0] * z[0]
-    for x in z[1:]:
-        out = out + x * x
-    return out
+            rest = rest - F.col(f"l{i}{j}") * F.col(f"_z{j}")
+        df = df.withColumn(f"_z{i}", rest / F.col(f"l{i}{i}"))
+    d2 = F.col("_z0") * F.col("_z0")
+    for i in range(1, P):
+        d2 = d2 + F.col(f"_z{i}") * F.col(f"_z{i}")
+    return df.withColumn("d2", d2).drop(*[f"_z{i}" for i in range(P)])
 
 
 def _counted(df: DataFrame, by: list[str]) -> DataFrame:
@@ -135,10 +134,12 @@ def _summed(df: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
     return part.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def _moments(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, m0.., c00..): rows, means and covariances of each group."""
-    one = {"n": F.lit(1)} | {f"s{i}": F.col(x) for i, x in enumerate(NAMES)} | {f"p{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i, j in PAIRS}
-    g = _summed(df, by, one).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+def _moments(df: DataFrame, by: list[str], near: Column | None = None) -> DataFrame:
+    """(by, n, m0.., c00..): rows, means and covariances of each group, of the rows that are near if that is given. These are summed by a weight of 1 or 0: a filter would compute distances anew."""
+    w = F.lit(1.0) if near is None else F.col("_w")
+    df = df if near is None else df.withColumn("_w", F.when(near, 1.0).otherwise(0.0))
+    one = {"n": w} | {f"s{i}": w * F.col(x) for i, x in enumerate(NAMES)} | {f"p{i}{j}": w * F.col(NAMES[i]) * F.col(NAMES[j]) for i, j in PAIRS}
+    g = _summed(df, by, one).where("n > 0").withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
     return g.select(*by, "n", *[f"m{i}" for i in range(P)], *[(F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
@@ -191,10 +192,10 @@ def concentrated(rows: DataFrame) -> DataFrame:
     sent = F.broadcast if first.limit(FEW + 1).count() <= FEW else (lambda df: df)  # all steps have the same groups
     both, by = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), ["grp", "start"]
     for _ in range(STEPS):
-        counted = _counted(both.join(sent(now), by).select(*by, _bin(_distance()).alias("bin")), [*by, "bin"])
+        counted = _counted(_with_distance(both.join(sent(now), by)).select(*by, _bin(F.col("d2")).alias("bin")), [*by, "bin"])
         edged = cut(now.join(_reached(counted, by, {"edge": SHARE}), by))
-        near = both.join(sent(edged), by).where(_bin(_distance()) <= F.col("edge")).select(*by, *NAMES)
-        new = cut(_factor(_moments(near, by), scale(SHARE)).select(*columns))
+        far = _with_distance(both.join(sent(edged), by)).select(*by, *NAMES, "d2", "edge")
+        new = cut(_factor(_moments(far, by, _bin(F.col("d2")) <= F.col("edge")), scale(SHARE)).select(*columns))
         # Only a count comes to the driver.
         fell = new.alias("x").join(now.alias("y"), by).where(F.col("x.logdet") < F.col("y.logdet") - FALL).limit(1).count()
         now = new
@@ -209,9 +210,9 @@ def mcd(rows: DataFrame) -> DataFrame:
     found = concentrated(rows)
     best = found.drop("start", "logdet", "size")
     q = chi2_quantile(0.975, P)
-    near = rows.join(small(best, FEW), "grp").where(_distance() <= q).select("grp", *NAMES)
+    far = _with_distance(rows.join(small(best, FEW), "grp")).select("grp", *NAMES, "d2")
     times = 0.975 / chi2_cdf(q, P + 2)
-    g = _moments(near, ["grp"]).drop("n").join(found.select("grp", F.col("size").alias("n")), "grp")
+    g = _moments(far, ["grp"], F.col("d2") <= q).drop("n").join(found.select("grp", F.col("size").alias("n")), "grp")
     return g.select("grp", "n", *[f"m{i}" for i in range(P)], *[(F.col(f"c{i}{j}") * times).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
@@ -242,10 +243,12 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """counts() with distance (double) and kept."""
     d = cut(_vector(counts(docs, keep)))
     chosen = small(cut(estimates(d)), FEW)
-    d2 = _distance()
     counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    verdict = F.coalesce(d2 <= chi2_quantile(CUTOFF, P), F.lit(True))
-    return d.join(chosen, "own", "left").select(*keep, "doc_id", "lang", "source", *counted, d2.alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
+    far = _with_distance(d.join(chosen, "own", "left"))
+    # A row's number beside the distance keeps conditions on verdicts above it.
+    far = far.withColumn("_far", F.struct("d2", F.monotonically_increasing_id().alias("row"))).withColumn("distance", F.col("_far.d2"))
+    verdict = F.coalesce(F.col("distance") <= chi2_quantile(CUTOFF, P), F.lit(True))
+    return far.select(*keep, "doc_id", "lang", "source", *counted, "distance", (~F.col("base_failed") & verdict).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
