@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Sub-keys that a key's rows are dealt to before they meet.
 SALTS = 64
+#: Tables kept by cut() between two collections of the driver's garbage.
+RELEASE = 6
+_made = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
