@@ -35,3 +35,21 @@ def test_same_rows(spark, sf, duck, name):
 
 def test_every_query_is_known():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
+
+
+def test_model_answers_of_odd_texts(spark, tmp_path):
+    texts = [None, "", "a", " ", "ab", "one,ab", "one,  ab", "key:ab", "nbsp\xa0ab", "line\u2028ab", "😀😀", "x😀a", 'say "x"', 'a"b', "a\\b", "a\\\\b", "ends\n", "tab\tb", "control\x01b", "xy\\u12",
+             "use ```ab", "a <think>b</think> c", "a <think>b", "<thinking>x</thinking>ab", '"}, ab', '{"a": 1', "[1,ab"]
+    spark.createDataFrame([(i, turn, x) for i, x in enumerate(texts) for turn in range(-2, 3)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(plans.ORACLES["model_answers"]).fetchall()
+    got = plans.QUERIES["model_answers"](spark, str(tmp_path)).select("conv_id", "turn", "output").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_model_answers_of_a_long_text(spark, tmp_path):
+    rows = spark.range(3).selectExpr("id as conv_id", "id as turn", "repeat('word, ', 3500000) as text")  # more than Spark's own readers of JSON take
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = plans.QUERIES["model_answers"](spark, str(tmp_path)).selectExpr("turn", "length(output)", "right(output, 6)").collect()
+    assert sorted(map(tuple, got)) == [(0, 21_000_000, "word, "), (1, 21_000_000, "word, "), (2, 20_999_998, ", word")]

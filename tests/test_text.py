@@ -117,3 +117,26 @@ def test_model_json():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_model_json_keeps_what_strings_hold():
+    for cut in ("one,", "one ,", "key:", "use ```", "a <think>b</think>", "a <think>b", "line\u2028"):
+        assert model_json.extract(f'{{"a": "{cut}') == {"a": cut}
+        assert model_json.extract(f'<think>so</think>```json\n{{"a": "{cut}"}}\n```') == {"a": cut}
+    assert model_json.extract('{"a": "has <think>b</think>", "b": 1,\n```') == {"a": "has <think>b</think>", "b": 1}
+    assert model_json.extract('{"a": "one, \n') == {"a": "one,"}
+
+
+def test_model_json_cut_in_an_escape():
+    for tail, want in {"\\": "", "\\\\": "\\", "\\\\\\": "\\", "\\u00e": "", "\\\\u00e": "\\u00e", "\\ud83d": "", "\\ud83d\\ude0": "", "\\ud83d\\ude00": "😀"}.items():
+        assert model_json.extract('{"a": "x' + tail) == {"a": "x" + want}
+
+
+def test_model_json_field(spark):
+    cases = {'{"a": "x,"}': "x,", '```json\n{"a": [1, "é"]}\n```': '[1, "é"]', '{"a": null}': None, '{"b": 1}': None, "[1]": None, "no json": None}
+    got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", model_json.field(F.col("x"), "a").alias("a")).collect()
+    assert {r.x: r.a for r in got} == cases
+
+
+def test_model_json_long_blanks():
+    assert model_json.extract('{"a": "x' + " " * 1_000_000 + 'y"}') == {"a": "x" + " " * 1_000_000 + "y"}  # hours, if each blank were a start
