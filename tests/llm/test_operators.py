@@ -54,6 +54,20 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_without_rounds(spark, monkeypatch):
+    made, keep = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: made.append(df) or keep(df))
+    path = [0, *range(300, 0, -1)]  # the smallest node is far from the next
+    edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long").repartition(7)
+    assert [tuple(r) for r in common.components(edges).orderBy("node").collect()] == [(i, 0) for i in range(301)]
+    assert len(made) == 2
+
+
+def test_components_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "AT_ONCE", 40)
+    test_components(spark)
+
+
 def test_running_sum(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.lit(2).alias("v")).repartition(5)
     assert all(r.s == 2 * r.k for r in common.running_sum(df, ["k"], "v", "s").collect())

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Sub-keys that a key's rows are dealt to before they meet.
 SALTS = 64
-#: Tables kept by cut() between two collections of the driver's garbage.
-RELEASE = 6
-_made = 0
+#: Edges that a task contracts at once.
+AT_ONCE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,13 +100,53 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of the nodes 0 to n - 1 that each reaches by edges between i and j. Roots are hooked to smaller ones, then paths are cut short, so that rounds grow with logarithms even of long paths."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, a, b)
+        np.minimum.at(root, b, a)
+        while (root != (shorter := root[root])).any():
+            root = shorter
+
+
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
+    """(hi, lo): stars that connect what each `most` edges of a partition connect, a row a node, its smallest with itself. edges: two columns (long)."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots(len(nodes), at[: len(a)], at[len(a) :])])], ["hi", "lo"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for x in batches:
+            if held and n + x.num_rows > most:
+                yield star(held)
+                held, n = [], 0
+            held, n = [*held, x] if x.num_rows else held, n + x.num_rows
+        if held:
+            yield star(held)
+
+    return edges.mapInArrow(run, "hi long, lo long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b: long): the smallest node reachable.
 
-    Alternating large-star and small-star (Kiveris et al., 2014): the edges never outgrow their number at the start, and the
-    rounds grow with the logarithm of the longest path. Only a count and a checksum come to the driver.
+    Each task contracts its edges to stars; what is left is contracted again by tasks of AT_ONCE edges, which ends it if one such task takes all. Beyond that, alternating
+    large-star and small-star (Kiveris et al., 2014): the edges never outgrow their number at the start, and the
+    rounds grow with the logarithm of the longest path. Only counts and a checksum come to the driver.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    e = cut(_contracted(edges.where("a <> b").select("a", "b"), AT_ONCE).where("hi <> lo"))
+    tasks = -(-e.count() // AT_ONCE)
+    e = cut(_contracted(e.coalesce(max(1, tasks)), AT_ONCE))
+    if tasks <= 1:
+        return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    e = cut(e.where("hi <> lo").distinct())
     before = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(hi, lo))")).first()
