@@ -28,6 +28,8 @@ STRUCTURED = {".json", ".jsonl", ".csv"}
 WRAPPERS = ("rows", "records", "documents", "data", "items", "results")
 MOST_SOURCES, MOST_BYTES, MOST_JSON = 50, 512 << 20, 128 << 20
 DATASET_ID = re.compile(r"[\w.-]+/[\w.-]+")
+#: What stands for a missing value of CSV while it is read. Spark takes every value equal to it for null, so it is none that a text has, least of all the empty one.
+NO_VALUE = "\ue000textloom:no-value\ue001"
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -70,8 +72,8 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = No
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with a header, every value a string."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    """Rows with a header, every value a string as it stands: a quoted value without signs is empty, one without quotes and signs is null."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue=NO_VALUE)
 
 
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
